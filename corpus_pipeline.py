@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import bpe, mixing, quality_rules
+from moundworks.llm import bpe, mixing, near_dedup, quality_rules, substring
 from moundworks.llm.common import read_table, scratch_dir
 from moundworks.llm.queries import vocabulary_path
 
@@ -19,6 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(spark, docs, read_table(spark, sf_dir, "labels"))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_dedup.keep_one(spark, docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages are cut out; a document of which nothing is left goes."""
+    return substring.without_repeats(spark, docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; copies are rows of their own."""
     return mixing.apply_mix(spark, docs)
@@ -29,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_table(spark, docs, vocabulary_path())
 
 
-STAGES = [("quality rules", quality), ("mixing", mix), ("bpe", tokens)]
+STAGES = [("quality rules", quality), ("near dedup", near), ("substring dedup", repeats), ("mixing", mix), ("bpe", tokens)]
 
 #: Random draws, suffix automata and BPE have no SQL form; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality_rules
+from . import bpe, chat, language_id, licenses, media, mixing, near_dedup, quality_rules, substring, warc
 from .common import read_table
 
 #: Folder or function giving the path of a public vocabulary; a parameter of the operator.
@@ -22,18 +22,46 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.histories(spark, read_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(spark, read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_table(read_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_chats(rows.unionByName(chat.planted(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_bpe, op8_mixing, op10_chat_format)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_warc, op3_language_id, op4_bpe, op5_near_dedup, op6_licenses, op7_substring_dedup, op8_mixing, op9_media, op10_chat_format)
+}
 ORACLE_SQL: dict[str, str] = {}
