@@ -7,8 +7,8 @@ densification). ROWS bins make a band; equal bands put documents into one bucket
 band with probability (1 - 0.8**8)**64 < 1e-5.
 
 Pairs stay few: documents of equal sets are first folded into a class; a bucket then gives star-shaped edges from its
-smallest document only. Edges are estimated on 8-bit signatures (those under ESTIMATE, six standard deviations low, go)
-and confirmed on full sets: 100 * intersection >= 80 * union. A link may be missed where both its ends aren't similar
+smallest document only. Edges whose sizes rule a link out go, the others are estimated on 8-bit signatures (those five
+standard deviations below 0.8 go, of the signature and of the set's own hashes) and confirmed on full sets: 100 * intersection >= 80 * union. A link may be missed where both its ends aren't similar
 to their bucket's centre; the exact rest: buckets that still hold several components get further centres, twice as many
 a round, paired only with members of other components, until no bucket has unpaired members of different components.
 Components come from repeated hooking to the smallest neighbour and pointer jumping over distributed tables.
@@ -32,7 +32,7 @@ from .common import as_bytes, cut, small_batches
 
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
-ESTIMATE = 0.65
+SIGMAS = 5.0
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
@@ -111,7 +111,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree often enough."""
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-        near = (a == b).mean(axis=1) >= ESTIMATE if len(a) else np.zeros(0, dtype=bool)
+        size = batch.column("n").to_numpy(zero_copy_only=False)
+        near = (a == b).mean(axis=1) >= 0.8 - SIGMAS * np.sqrt(0.16 * (1 / BINS + 1 / np.maximum(size, 1))) if len(a) else np.zeros(0, dtype=bool)
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
@@ -129,11 +130,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked; a table of its own."""
+def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """Those of the pairs (a, b), sizes na and nb, that are linked; a table of its own. seen: pairs tested before, which
+    aren't tested again; gets those tested now."""
     sig = signed.select("doc_id", "sig")
-    both = pairs.distinct().join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    pairs = pairs.filter("100 * least(na, nb) >= 80 * greatest(na, nb)").groupBy("a", "b").agg(F.greatest(F.max("na"), F.max("nb")).alias("n"))
+    for tested in seen:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "n", "sig_a", "sig_b")
     near = cut(both.mapInArrow(_alike, "a long, b long"), spark)
+    seen.append(near)
     if near.isEmpty():
         return near
     text = docs.select("doc_id", "text")
@@ -142,21 +148,33 @@ def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFr
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of an edge, comp the smallest id reachable."""
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), spark)
-    label = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.min("u")).alias("comp")), spark)
-    while True:
-        # hook: the smallest label among the neighbours goes to the own label's root as well; jump: take the label's label
-        seen = both.join(label, F.col("v") == F.col("id")).groupBy("u").agg(F.min("comp").alias("near"))
-        hooked = label.join(seen, F.col("id") == F.col("u"), "left").select("id", "comp", F.least("comp", "near").alias("low"))
-        roots = hooked.groupBy(F.col("comp").alias("root")).agg(F.min("low").alias("root_low"))
-        lowered = hooked.join(roots, F.col("comp") == F.col("root"), "left").select("id", "comp", F.least("low", "root_low").alias("low"))
-        jump = lowered.select(F.col("id").alias("at"), F.col("low").alias("low_at"))
-        moved = cut(lowered.join(jump, F.col("low") == F.col("at"), "left").select("id", F.col("comp").alias("old"), F.least("low", F.coalesce("low_at", "low")).alias("comp")), spark)
-        changed = not moved.filter("old <> comp").isEmpty()
-        label = moved.select("id", "comp")
-        if not changed:
-            return label
+    """(id, comp) for every end of an edge, comp the smallest id reachable.
+
+    Contraction: every node goes to its neighbour (or itself) of the smallest hash, edges follow, and what is left is
+    done again; a hash order lets any graph shrink by a constant factor, so the rounds are few and soon tiny.
+    """
+    left = cut(edges.select("a", "b").filter("a <> b").distinct(), spark)
+    label: DataFrame | None = None
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        low = both.groupBy(F.col("a").alias("u")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
+        hop = cut(low.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("p")), spark)
+        moved = left.join(hop.toDF("a", "pa"), "a").join(hop.toDF("b", "pb"), "b").filter("pa <> pb")
+        left = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), spark)
+        label = hop if label is None else label.join(hop.toDF("q", "r"), F.col("p") == F.col("q"), "left").select("u", F.coalesce("r", "p").alias("p"))
+    if label is None:
+        return left.toDF("id", "comp")
+    label = cut(label, spark)
+    least = label.groupBy("p").agg(F.min("u").alias("comp"))
+    return cut(label.join(least, "p").select(F.col("u").alias("id"), "comp"), spark)
+
+
+def merged(spark: SparkSession, label: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after further links: components of components."""
+    ends = with_component(with_component(found, label, "a").withColumnRenamed("comp", "ca"), label, "b").select(F.col("ca").alias("a"), F.col("comp").alias("b"))
+    over = components(spark, ends)
+    new = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
+    return cut(with_component(label.union(new).withColumnRenamed("comp", "old"), over, "old").select("id", "comp"), spark)
 
 
 def with_component(rows: DataFrame, label: DataFrame, on: str) -> DataFrame:
@@ -166,7 +184,7 @@ def with_component(rows: DataFrame, label: DataFrame, on: str) -> DataFrame:
 def _of_several(rows: DataFrame) -> DataFrame:
     """Members of buckets that hold several components."""
     several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    return rows.select("bucket", "doc_id", "comp").join(several, "bucket")
+    return rows.select("bucket", "doc_id", "size", "comp").join(several, "bucket")
 
 
 def _centres(rows: DataFrame, most: int) -> DataFrame:
@@ -175,7 +193,7 @@ def _centres(rows: DataFrame, most: int) -> DataFrame:
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("_n"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("_n", "comp", "doc_id"))
     first = rows.join(sizes, ["bucket", "comp"]).withColumn("_place", place).filter(F.col("_place") <= most)
-    return first.select("bucket", F.col("doc_id").alias("centre"), F.col("comp").alias("centre_comp"))
+    return first.select("bucket", F.col("doc_id").alias("centre"), F.col("size").alias("centre_size"), F.col("comp").alias("centre_comp"))
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -186,28 +204,29 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = cut(narrow.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head")), spark)
     heads = classes.select(F.col("head").alias("doc_id"), F.col("digest").alias("_digest"))
     # one row a class; several rows of one doc_id with other texts don't match its digest
-    signed = signed.join(heads, "doc_id").filter("digest = _digest").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig")
+    signed = signed.join(heads, "doc_id").filter("digest = _digest").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig")
     signed = cut(signed, spark)
-    member = signed.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    in_bucket = cut(member.join(buckets, "bucket"), spark)
-    edges = links(spark, in_bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), signed, docs)
-    label = components(spark, edges)
+    member = signed.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    buckets = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    in_bucket = cut(member.join(buckets.select("bucket", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), "n"), "bucket"), spark)
+    seen: list[DataFrame] = []
+    first = in_bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_size").alias("na"), F.col("size").alias("nb"))
+    label = components(spark, links(spark, first, signed, docs, seen))
 
     # the exact rest: what is left of each bucket once its first centre is done
-    left, centres = in_bucket.filter("n > 2 and doc_id <> hub").select("bucket", "doc_id"), 1
-    while True:
-        rows = cut(_of_several(with_component(left, label, "doc_id")), spark)
-        if rows.isEmpty():
-            break
+    rows = cut(_of_several(with_component(in_bucket.filter("n > 2 and doc_id <> hub").select("bucket", "doc_id", "size"), label, "doc_id")), spark)
+    centres = 4
+    while not rows.isEmpty():
         firsts = cut(_centres(rows, centres), spark)
         pairs = rows.join(firsts, "bucket").filter("comp <> centre_comp")
-        found = links(spark, pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")), signed, docs)
+        pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), F.col("size").alias("na"), F.col("centre_size").alias("nb"))
+        found = links(spark, pairs, signed, docs, seen)
+        rows = rows.join(firsts.select("bucket", F.col("centre").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
         if not found.isEmpty():
-            edges = cut(edges.union(found), spark)
-            label = components(spark, edges)
-        left = rows.select("bucket", "doc_id").join(firsts.select("bucket", F.col("centre").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        centres *= 2
+            label = merged(spark, label, found)
+            rows = with_component(rows.select("bucket", "doc_id", "size"), label, "doc_id")
+        rows = cut(_of_several(rows), spark)
+        centres *= 4
 
     whole = with_component(narrow.join(classes, "digest", "left").withColumn("head", F.coalesce("head", "doc_id")), label, "head")
     return whole.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), (F.col("doc_id") == F.col("comp")).alias("kept"))
