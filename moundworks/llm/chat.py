@@ -6,8 +6,8 @@ The template of a conversation is, for each turn in order::
 
 with the role's first letter in upper case in the header only if that is reversible (it is a lower-case a-z letter;
 other roles are written between brackets as they are). Texts are first written raw; the rendering of the turn is parsed
-again by the same deterministic parser that reads the output, and where the recovered turn differs from its source, the
-turn is written with its control characters escaped: backslash, ``#`` and ``<`` become ``\\\\s``, ``\\\\h``, ``\\\\l``.
+again by the same deterministic parser that reads the output, and where the recovered turn differs from its source, or
+its text holds an opening mark, the turn is written with its control characters escaped: backslash, ``#`` and ``<`` become ``\\\\s``, ``\\\\h``, ``\\\\l``.
 Then the whole conversation is parsed, and if a turn still differs (texts that conflict only together) all its turns are
 escaped. Escaped text holds no control string, so that form always returns its source.
 
@@ -55,9 +55,12 @@ def _role(shown: Column) -> Column:
 
 def parse(rendered: Column) -> Column:
     """An array of (role, text) from rendered text; pieces that are no turns give null fields."""
-    pieces = F.split(rendered, F.lit("</turn>\\n"), F.lit(-1))
+    pieces = F.split(rendered, F.lit("</turn>"), F.lit(-1))
 
-    def turn(piece: Column) -> Column:
+    def turn(part: Column, i: Column) -> Column:
+        return let(F.when((i > 0) & part.startswith("\n"), F.substring(part, F.lit(2), F.length(part))).otherwise(part), fields)
+
+    def fields(piece: Column) -> Column:
         at = F.instr(piece, COLON)
         opened = piece.startswith(OPEN) & (at > len(OPEN))
         role = _role(F.substring(piece, F.lit(len(OPEN) + 1), at - (len(OPEN) + 1)))
@@ -79,7 +82,7 @@ def render(turns: Column) -> Column:
         control = t["text"].contains("\\") | t["text"].contains("<") | t["text"].contains("#")
         # only texts with a control character can fail the turn's own round trip
         same = let(parse(raw), lambda got: (F.size(got) == 1) & F.coalesce((F.get(got, F.lit(0))["role"] == t["role"]) & (F.get(got, F.lit(0))["text"] == t["text"]), F.lit(False)))
-        return F.when(~control, raw).when(same, raw).otherwise(_turn(t["role"], escape(t["text"])))
+        return F.when(~control, raw).when(same & ~t["text"].contains(OPEN), raw).otherwise(_turn(t["role"], escape(t["text"])))
 
     first = F.concat_ws("", F.transform(turns, shortest))
     safe = F.concat_ws("", F.transform(turns, lambda t: _turn(t["role"], escape(t["text"]))))

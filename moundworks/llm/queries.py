@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, language_id, licenses, media, mixing, near_dedup, quality_rules, substring, warc
 from .common import read_table
+from .oracle import ORACLE_SQL
 
 #: Folder or function giving the path of a public vocabulary; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,4 +65,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_warc, op3_language_id, op4_bpe, op5_near_dedup, op6_licenses, op7_substring_dedup, op8_mixing, op9_media, op10_chat_format)
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
