@@ -222,7 +222,7 @@ def zone_grid(spark, sf):
 @query()
 def contour_segments(spark, sf):
     cells = grid.smooth_grid(spark, table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount", "l_extendedprice", SMALL)
-    return grid.contours(cells, ["l_returnflag"], 50_000.0)
+    return grid.contours(cells, ["l_returnflag"], 53_000.0)
 
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem), c AS (SELECT CAST(least(19, floor((l_extendedprice - a) / ((b - a) / 20))) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)
