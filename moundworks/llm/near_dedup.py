@@ -7,9 +7,10 @@ densification). ROWS bins make a band; equal bands put documents into one bucket
 band with probability (1 - 0.8**8)**64 < 1e-5.
 
 Pairs stay few: documents of equal sets are first folded into a class; a bucket then gives star-shaped edges from its
-smallest document only. Edges whose sizes rule a link out go, the others are estimated on 8-bit signatures (those five
-standard deviations below 0.8 go, of the signature and of the set's own hashes) and confirmed on full sets: 100 * intersection >= 80 * union. A link may be missed where both its ends aren't similar
-to their bucket's centre; the exact rest: buckets that still hold several components get further centres, twice as many
+smallest document only. Edges whose sizes rule a link out go. Sets of up to SMALL shingles are then compared as a whole by
+32-bit hashes, larger ones are estimated on 8-bit signatures (those five standard deviations below 0.8 go, of the
+signature and of the set's own hashes); what is left is confirmed on full sets: 100 * intersection >= 80 * union. A link
+may be missed where both its ends aren't similar to their bucket's centre; the exact rest: buckets that still hold several components get further centres, twice as many
 a round, paired only with members of other components, until no bucket has unpaired members of different components.
 Components come from repeated hooking to the smallest neighbour and pointer jumping over distributed tables.
 
@@ -33,9 +34,13 @@ from .common import as_bytes, cut, small_batches
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
 SIGMAS = 5.0
+#: Sets of up to so many shingles carry 32 bits of each; those of at least SIGNED_FROM carry a signature. Two sets of which
+#: one is larger than SMALL can be linked only if both have a signature.
+SMALL = 320
+SIGNED_FROM = SMALL * 4 // 5
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
+SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, few binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,24 +100,38 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        sizes, digests, bands, sigs = [], [], [], []
+        sizes, digests, bands, sigs, few = [], [], [], [], []
         for text in as_bytes(batch, "text"):
             s = shingles(text)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig = signature(s) if len(s) else None
             bands.append(None if sig is None else band_keys(sig))
-            sigs.append(None if sig is None else sig.astype(np.uint8).tobytes())
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+            sigs.append(sig.astype(np.uint8).tobytes() if len(s) >= SIGNED_FROM else None)
+            few.append(s.astype(np.uint32).tobytes() if 0 < len(s) <= SMALL else None)
+        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(few, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "sig", "few"])
+
+
+def _may_link(few_a: bytes, few_b: bytes) -> bool:
+    """Whether sets of these 32-bit hashes can be linked. Hashes that meet by chance make the union smaller, so no link is
+    ruled out by them."""
+    x, y = np.frombuffer(few_a, dtype=np.uint32), np.frombuffer(few_b, dtype=np.uint32)
+    both = np.sort(np.concatenate((x, y)))
+    union = 1 + np.count_nonzero(both[1:] != both[:-1])
+    return 100 * (len(both) - union) >= 80 * union
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree often enough."""
+    """Pairs that may be linked, by their whole small sets or else by their signatures."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-        size = batch.column("n").to_numpy(zero_copy_only=False)
-        near = (a == b).mean(axis=1) >= 0.8 - SIGMAS * np.sqrt(0.16 * (1 / BINS + 1 / np.maximum(size, 1))) if len(a) else np.zeros(0, dtype=bool)
+        few_a, few_b, sig_a, sig_b = (batch.column(c).to_pylist() for c in ("few_a", "few_b", "sig_a", "sig_b"))
+        near = np.array([x is not None and y is not None and _may_link(x, y) for x, y in zip(few_a, few_b, strict=True)], dtype=bool)
+        large = np.array([i for i, (x, y, p, q) in enumerate(zip(few_a, few_b, sig_a, sig_b, strict=True)) if (x is None or y is None) and p and q], dtype=np.int64)
+        if len(large):
+            a, b = (np.frombuffer(b"".join([sig[i] for i in large]), dtype=np.uint8).reshape(-1, BINS) for sig in (sig_a, sig_b))
+            size = batch.column("n").to_numpy(zero_copy_only=False)[large]
+            near[large] = (a == b).mean(axis=1) >= 0.8 - SIGMAS * np.sqrt(0.16 * (1 / BINS + 1 / size))
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
@@ -133,11 +152,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFrame, seen: list[DataFrame]) -> DataFrame:
     """Those of the pairs (a, b), sizes na and nb, that are linked; a table of its own. seen: pairs tested before, which
     aren't tested again; gets those tested now."""
-    sig = signed.select("doc_id", "sig")
+    sig = signed.select("doc_id", "sig", "few")
     pairs = pairs.filter("100 * least(na, nb) >= 80 * greatest(na, nb)").groupBy("a", "b").agg(F.greatest(F.max("na"), F.max("nb")).alias("n"))
     for tested in seen:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "n", "sig_a", "sig_b")
+    both = pairs.join(sig.toDF("a", "sig_a", "few_a"), "a").join(sig.toDF("b", "sig_b", "few_b"), "b").select("a", "b", "n", "sig_a", "sig_b", "few_a", "few_b")
     near = cut(both.mapInArrow(_alike, "a long, b long"), spark)
     seen.append(near)
     if near.isEmpty():
@@ -204,7 +223,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = cut(narrow.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head")), spark)
     heads = classes.select(F.col("head").alias("doc_id"), F.col("digest").alias("_digest"))
     # one row a class; several rows of one doc_id with other texts don't match its digest
-    signed = signed.join(heads, "doc_id").filter("digest = _digest").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig")
+    signed = signed.join(heads, "doc_id").filter("digest = _digest").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig", "few")
     signed = cut(signed, spark)
     member = signed.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
