@@ -22,6 +22,7 @@ document (that of the smallest set digest stands for it, and any of its texts ma
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SIGMAS = 5.0
 #: one is larger than SMALL can be linked only if both have a signature.
 SMALL = 320
 SIGNED_FROM = SMALL * 4 // 5
+#: Edges that one task may finish.
+FINISH = 20_000
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, few binary"
@@ -154,8 +157,8 @@ def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFr
     aren't tested again; gets those tested now."""
     sig = signed.select("doc_id", "sig", "few")
     pairs = pairs.filter("100 * least(na, nb) >= 80 * greatest(na, nb)").groupBy("a", "b").agg(F.greatest(F.max("na"), F.max("nb")).alias("n"))
-    for tested in seen:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    if seen:
+        pairs = pairs.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti")
     both = pairs.join(sig.toDF("a", "sig_a", "few_a"), "a").join(sig.toDF("b", "sig_b", "few_b"), "b").select("a", "b", "n", "sig_a", "sig_b", "few_a", "few_b")
     near = cut(both.mapInArrow(_alike, "a long, b long"), spark)
     seen.append(near)
@@ -166,21 +169,42 @@ def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFr
     return cut(full.mapInArrow(_confirm, "a long, b long"), spark)
 
 
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over at most FINISH edges: (u, p) for every end, p one id for each component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            parent[root(a)] = root(b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "p"])
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of an edge, comp the smallest id reachable.
 
     Contraction: every node goes to its neighbour (or itself) of the smallest hash, edges follow, and what is left is
-    done again; a hash order lets any graph shrink by a constant factor, so the rounds are few and soon tiny.
+    done again; a hash order lets any graph shrink by a constant factor, so the rounds are few. What is left once it has
+    no more than FINISH edges is finished by union-find in one task, whose input that number bounds.
     """
     left = cut(edges.select("a", "b").filter("a <> b").distinct(), spark)
     label: DataFrame | None = None
-    while not left.isEmpty():
+    while n_left := left.count():
         both = left.union(left.select("b", "a"))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
-        hop = cut(low.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("p")), spark)
+        last = n_left <= FINISH
+        hop = left.coalesce(1).mapInArrow(_trees, "u long, p long") if last else low.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("p"))
+        hop = cut(hop, spark)
+        label = hop if label is None else label.join(hop.toDF("q", "r"), F.col("p") == F.col("q"), "left").select("u", F.coalesce("r", "p").alias("p"))
+        if last:
+            break
         moved = left.join(hop.toDF("a", "pa"), "a").join(hop.toDF("b", "pb"), "b").filter("pa <> pb")
         left = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), spark)
-        label = hop if label is None else label.join(hop.toDF("q", "r"), F.col("p") == F.col("q"), "left").select("u", F.coalesce("r", "p").alias("p"))
     if label is None:
         return left.toDF("id", "comp")
     label = cut(label, spark)

@@ -263,3 +263,20 @@ def test_media(spark, docs):
 
 def test_words_pattern():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a b\x1cc d") == [w.decode() for w in "a b\x1cc d".encode().split()]
+
+
+@pytest.mark.parametrize("finish", [0, 5, 20_000])
+def test_components_of_any_size_of_the_last_task(spark, monkeypatch, finish):
+    monkeypatch.setattr(near_dedup, "FINISH", finish)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10, 30)] + [(3, 2), (2, 1), (7, 7), (40, 30)], "a long, b long")
+    got = {r.id: r.comp for r in near_dedup.components(spark, edges).collect()}
+    assert got == dict.fromkeys([*range(10, 31), 40], 10) | dict.fromkeys([1, 2, 3], 1)
+    assert near_dedup.components(spark, edges.limit(0)).count() == 0
+
+
+def test_small_sets_are_never_ruled_out_below_the_threshold():
+    import numpy as np
+
+    a = np.arange(90, dtype=np.uint32)
+    assert near_dedup._may_link(a.tobytes(), a[:72].tobytes())
+    assert not near_dedup._may_link(a.tobytes(), a[:71].tobytes())
