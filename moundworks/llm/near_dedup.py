@@ -268,6 +268,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if not found.isEmpty():
             label = merged(spark, label, found)
             rows = with_component(rows.select("bucket", "doc_id", "size"), label, "doc_id")
+        rows = cut(rows, spark)  # _of_several reads it twice
         rows = cut(_of_several(rows), spark)
         centres *= 4
 
