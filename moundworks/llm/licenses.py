@@ -42,6 +42,7 @@ OPENNESS = {
 UNKNOWN = 0.5
 #: Bytes of words: digits, lower-case letters and all beyond ASCII; capitals become small, the rest a space.
 WORDS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
+IDENTIFIER = re.compile(r"[a-z0-9.+:-]+")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -77,7 +78,7 @@ def postfix(expression: str) -> list[str] | None:
             if not stack:
                 return None
             stack.pop()
-        elif re.fullmatch(r"[a-z0-9.+:-]+", token) and wants:
+        elif IDENTIFIER.fullmatch(token) and wants:
             out.append(token)
             wants = False
         else:
@@ -96,7 +97,12 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     for token in order:
         if token in RANK:
             (right, b), (left, a) = stack.pop(), stack.pop()
-            stack.append((left, min(1.0, a + 0.1)) if token == "with" else (left | right, max(a, b) if token == "or" else min(a, b)))
+            if token == "with":
+                stack.append((left, min(1.0, a + 0.1)))
+                continue
+            small, large = sorted((left, right), key=len)
+            large |= small  # the smaller into the larger: a long expression stays near linear
+            stack.append((large, max(a, b) if token == "or" else min(a, b)))
         else:
             label = token.rstrip("+")
             stack.append(({label}, openness(label)))
@@ -104,12 +110,27 @@ def evaluate(expression: str) -> tuple[set[str], float]:
 
 
 def leading_expression(line: str) -> str:
-    """The longest start of a line, in tokens, that is an expression; the line's first token if none is."""
-    tokens = re.findall(r"[^\s()]+|[()]", line)[:64]
-    for n in range(len(tokens), 0, -1):
-        if postfix(part := " ".join(tokens[:n])) is not None:
-            return part
-    return tokens[0] if tokens else ""
+    """The longest start of a line, in tokens, that is an expression; the line's first token if none is.
+
+    One pass by the grammar of ``postfix``: the start is an expression wherever an identifier or a closing bracket has
+    just been read and no bracket is open. It ends at the first token that no expression can go on with.
+    """
+    tokens: list[str] = []
+    whole = depth = 0
+    wants = True
+    for found in re.finditer(r"[^\s()]+|[()]", line):
+        tokens.append(found.group())
+        for token in re.findall(r"[a-z0-9.+:-]+|[()]|\S", tokens[-1].lower()):
+            if token in RANK or token == ")":
+                fits, wants = not wants, token in RANK
+            else:
+                fits, wants = wants and (token == "(" or IDENTIFIER.fullmatch(token) is not None), token == "("
+            depth += (token == "(") - (token == ")")
+            if not fits or depth < 0:
+                return " ".join(tokens[: whole or 1])
+        if not wants and depth == 0:
+            whole = len(tokens)
+    return " ".join(tokens[: whole or 1])
 
 
 @cache

@@ -249,6 +249,22 @@ def test_licenses(spark, docs):
     assert licenses.scan(b"x SPDX-License-Identifier: MIT OR GPL-2.0 */\nrest")[5] == "gpl-2.0,mit"
 
 
+def test_licenses_of_long_expressions():
+    names = [f"lic-{i}" for i in range(500)]
+    for line in (" and ".join([*names, "agpl-3.0"]), "(" + " or ".join(names) + ") and agpl-3.0", " or (".join([*names, "agpl-3.0"]) + ")" * 500):
+        assert licenses.leading_expression(f"{line} */ and more") == " ".join(re.findall(r"[^\s()]+|[()]", line))
+        got = licenses.scan(f"SPDX-License-Identifier: {line} */\nmit".encode())
+        assert got[5] == ",".join(sorted([*names, "agpl-3.0"])) and got[6] == (0.5 if " or (" in line else 0.3)
+    assert licenses.leading_expression("(" * 500 + "mit") == "("
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["mit", "GPL-2.0+", "and", "or", "with", "(", ")", "*/", "x,y", "İ"]), max_size=12))
+def test_leading_expression_is_the_longest_start(tokens):
+    starts = [part for n in range(len(tokens), 0, -1) if licenses.postfix(part := " ".join(tokens[:n])) is not None]
+    assert licenses.leading_expression("  ".join(tokens)) == (starts[0] if starts else tokens[0] if tokens else "")
+
+
 def test_media(spark, docs):
     got = by_id(media.described(docs))
     for i, t in TEXTS.items():
