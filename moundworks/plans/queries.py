@@ -368,10 +368,16 @@ def approach_angles(spark, sf):
     return e.select("event_id", F.round(vaa, 9).alias("vaa"), F.round(haa, 9).alias("haa"))
 
 
-@query()
+@query("""SELECT *, x0 + vx0 * t + ax * t * t * 0.5::DOUBLE AS x, 50.0::DOUBLE + vy0 * t + ay * t * t * 0.5::DOUBLE AS y, z0 + vz0 * t + az * t * t * 0.5::DOUBLE AS z,
+  sqrt((vx0 + ax * t) * (vx0 + ax * t) + (vy0 + ay * t) * (vy0 + ay * t) + (vz0 + az * t) * (vz0 + az * t)) * (3600.0::DOUBLE / 5280.0::DOUBLE) AS mph FROM (
+  SELECT *, t0 + (t1 - t0) * k / 20.0::DOUBLE AS t FROM (
+  SELECT *, (-vy0 - sqrt(vy0 * vy0 - ay * 2.0::DOUBLE * (50.0::DOUBLE - release_y))) / ay AS t0, (-vy0 - sqrt(vy0 * vy0 - ay * 2.0::DOUBLE * (50.0::DOUBLE - 17.0::DOUBLE / 12.0::DOUBLE))) / ay AS t1 FROM (
+  SELECT event_id, -1.9::DOUBLE - value / 500 AS x0, 5.8::DOUBLE + value / 1000 AS z0, 54.0::DOUBLE AS release_y, 5.0::DOUBLE + value / 200 AS vx0, -(130.0::DOUBLE + value / 100) AS vy0, -5.0::DOUBLE - value / 300 AS vz0,
+  -10.0::DOUBLE - value / 100 AS ax, 25.0::DOUBLE + value / 50 AS ay, -15.0::DOUBLE - value / 150 AS az FROM events)), (SELECT CAST(r AS INTEGER) AS k FROM range(21) s(r)) WHERE t0 IS NOT NULL AND t1 IS NOT NULL)""")
 def flight_path(spark, sf):
-    one = {"x0": -1.9, "z0": 5.8, "release_y": 54.0, "vx0": 5.0, "vy0": -135.0, "vz0": -5.0, "ax": -10.0, "ay": 28.0, "az": -15.0}
-    return geometry.flight(table(spark, sf, "events").limit(50).select("event_id", *[F.lit(v).alias(k) for k, v in one.items()]))
+    of = {"x0": (-1.9, -500), "z0": (5.8, 1000), "release_y": (54.0, None), "vx0": (5.0, 200), "vy0": (-130.0, -100), "vz0": (-5.0, -300), "ax": (-10.0, -100), "ay": (25.0, 50), "az": (-15.0, -150)}
+    own = [(F.lit(base) + F.col("value") / by if by else F.lit(base)).alias(k) for k, (base, by) in of.items()]
+    return geometry.flight(table(spark, sf, "events").select("event_id", *own))
 
 
 @query()

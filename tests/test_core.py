@@ -137,6 +137,12 @@ def test_hull_and_wall_and_flight(spark):
     assert path[0].y == pytest.approx(54) and path[-1].y == pytest.approx(17 / 12) and path[0].mph > path[-1].mph
 
 
+def test_every_event_has_its_own_flight(spark):
+    paths, n = Q.flight_path(spark, SF), Q.events(spark, SF).count()
+    assert paths.select("event_id").distinct().count() == n > 50 and paths.count() == 21 * n
+    assert paths.filter("k = 20").select("mph").distinct().count() > 50
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 4), st.booleans()), min_size=2, max_size=12))
 def test_rank_auc_is_pairwise(spark, rows):
