@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each row, as their number and digest."""
-    return bpe.encode_table(spark, docs, vocabulary_path())
+    """Ids of each row, with their number and the text that they give back."""
+    return bpe.encode_rows(spark, docs, vocabulary_path())
 
 
 STAGES = [("quality rules", quality), ("near dedup", near), ("substring dedup", repeats), ("mixing", mix), ("bpe", tokens)]

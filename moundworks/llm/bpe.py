@@ -11,7 +11,6 @@ are encoded one by one; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 #: Pieces whose ids are remembered by a worker; the table starts anew when it is full, so its memory is bounded.
 REMEMBERED = 300_000
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -113,24 +112,33 @@ def load(path: str) -> ByteBpe:
         return _loaded(f.read())
 
 
-def encode_table(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
-    """A row for each of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. vocabulary: path of the tokenizer's JSON on the driver.
+def encode_rows(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
+    """A row for each of docs: doc_id, n_tokens, ids, decoded. vocabulary: path of the tokenizer's JSON on the driver.
 
-    The file's text (1.5 MB; fixed by the vocabulary, not by the data) is broadcast once.
+    ids are little-endian unsigned 32-bit integers, decoded is the text they give back. The file's text (1.5 MB; fixed by
+    the vocabulary, not by the data) is broadcast once.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec.value)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in small_batches(batches):
-            counts, ids_sha, text_sha = [], [], []
+            ids, decoded = [], []
             for raw in as_bytes(batch, "text"):
-                packed = bpe.encode_packed((raw or b"").decode("utf-8", "replace"))
-                counts.append(len(packed) // 4)
-                ids_sha.append(sha(packed))
-                text_sha.append(sha(bpe.decode(memoryview(packed).cast("I").tolist()).encode()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids.append(packed := bpe.encode_packed((raw or b"").decode("utf-8", "replace")))
+                decoded.append(bpe.decode(memoryview(packed).cast("I").tolist()))
+            counts = [len(packed) // 4 for packed in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the rows of ``encode_rows``."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encode_table(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
+    """The digests of ``encode_rows``."""
+    return digests(encode_rows(spark, docs, vocabulary))

@@ -33,7 +33,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(spark, read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.digests(bpe.encode_rows(spark, read_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

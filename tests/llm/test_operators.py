@@ -83,6 +83,15 @@ def test_bpe(spark, docs):
     assert got[8].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[1].n_tokens == 0 and len(got) == len(TEXTS)
 
 
+def test_bpe_keeps_ids_and_text(spark, docs):
+    path = vocabulary_path()
+    own, got, told = bpe.load(path), by_id(bpe.encode_rows(spark, docs, path)), by_id(bpe.encode_table(spark, docs, path))
+    for i, t in TEXTS.items():
+        ids = np.frombuffer(got[i].ids, "<u4")
+        assert ids.tolist() == own.encode(t or "") and got[i].n_tokens == len(ids) and got[i].decoded == (t or "")
+        assert told[i].ids_sha256 == hashlib.sha256(got[i].ids).hexdigest() and told[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_round_trip(text):

@@ -29,3 +29,10 @@ def test_stages(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in kept.collect()}
     tokens = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
     assert tokens.count() == mixed.count()
+
+
+def test_last_stage_carries_ids(spark):
+    docs = spark.createDataFrame([(1, "a mound"), (2, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
+    own = corpus_pipeline.bpe.load(corpus_pipeline.vocabulary_path())
+    assert out[1].ids == own.encode_packed("a mound") != b"" and out[1].decoded == "a mound" and out[2].ids == b""
