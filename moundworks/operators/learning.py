@@ -62,8 +62,8 @@ def slot_encoding(df: DataFrame, keys: list[str], usage: str, values: list[str],
 def nearest(spark: SparkSession, df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """(key, rank, neighbor, distance): exact nearest neighbours of a stated query set against all rows, self excluded.
 
-    The queries (one block of bounded size after another) are broadcast; each partition keeps its k best a query, and only
-    those meet. queries: None takes all rows as queries, for marts of thousands of rows.
+    Equal distances go by the neighbour's key. The queries (one block of bounded size after another) are broadcast; each
+    partition keeps its k best a query by (distance, key), and only those meet. queries: None takes all rows as queries, for marts of thousands of rows.
     """
     wanted = (queries if queries is not None else df).select(key, vector).orderBy(key)
     rows = wanted.collect()
@@ -76,10 +76,12 @@ def nearest(spark: SparkSession, df: DataFrame, key: str, vector: str, k: int, q
             best: list[pd.DataFrame] = []
             for f in frames:
                 x, own = np.array(f[vector].tolist(), dtype=np.float64), f[key].to_numpy()
+                order = f[key].argsort(kind="stable").to_numpy()  # rows by key: the stable sort by distance then breaks ties by it
+                x, own = x[order], own[order]
                 for at in range(0, len(x), 2048):
                     d = np.sqrt(((q[:, None, :] - x[None, at : at + 2048, :]) ** 2).sum(axis=2))
                     d[np.equal.outer(np.array(ids), own[at : at + 2048])] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
                     best.append(pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "n": own[at : at + 2048][top].ravel(), "d": np.take_along_axis(d, top, 1).ravel()}))
                 if best:
                     best = [pd.concat(best).sort_values(["d", "n"]).groupby("q", sort=False).head(k)]

@@ -182,6 +182,15 @@ def test_clusters_merge_one_shape_and_keep_two(spark):
     assert [r.labels for r in out] == ["FF,SI", "CU"] and sum(r.usage_pct for r in out) == pytest.approx(100)
 
 
+def test_nearest_breaks_ties_by_key_in_any_row_order(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(60, 0, -1)] + [(0, [0.0, 0.0]), (61, [0.0, 3.0])]
+    for key in ("long", "string"):
+        name = (lambda i: i) if key == "long" else "{:03d}".format
+        df = spark.createDataFrame([(name(i), v) for i, v in rows], f"id {key}, v array<double>").coalesce(1)
+        out = learning.nearest(spark, df, "id", "v", 5, df.filter(F.col("id") == name(0))).orderBy("rank").collect()
+        assert [(r["rank"], r.neighbor) for r in out] == [(k, name(k)) for k in range(1, 6)]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([([0.7, 0.2, 0.1], 0, [0.0, 0.0, 1.0], 1500), ([0.1, 0.3, 0.6], 1, [0.0, 0.0, 1.0], 0)], "p array<double>, y int, own array<double>, n int")
     r = metrics.multiclass_report(df, "p", "y", 2).collect()[0]
