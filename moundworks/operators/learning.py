@@ -93,17 +93,13 @@ def nearest(spark: SparkSession, df: DataFrame, key: str, vector: str, k: int, q
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("n").alias("neighbor"), F.col("d").alias("distance"))
 
 
-def bic(x: np.ndarray, means: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> float:
-    """Of a Gaussian mixture with full covariances fitted by EM from the given means."""
+def mixture(x: np.ndarray, means: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, tuple]:
+    """BIC and (shares, means, covariances) of a Gaussian mixture with full covariances fitted by EM from the given means."""
     n, d = x.shape
     k = len(means)
     cov, mix, mu = np.stack([np.cov(x.T) + ridge * np.eye(d)] * k), np.full(k, 1 / k), means.copy()
     for _ in range(rounds):
-        logs = np.empty((n, k))
-        for j in range(k):
-            c = np.linalg.cholesky(cov[j])
-            z = np.linalg.solve(c, (x - mu[j]).T)
-            logs[:, j] = np.log(mix[j] + 1e-300) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(c)).sum() - 0.5 * d * np.log(2 * np.pi)
+        logs = log_parts(x, mix, mu, cov)
         top = logs.max(axis=1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
         r = np.exp(logs - total[:, None])
@@ -113,19 +109,78 @@ def bic(x: np.ndarray, means: np.ndarray, rounds: int = 60, ridge: float = 1e-3)
             mu[j] = w @ x
             cov[j] = ((x - mu[j]) * w[:, None]).T @ (x - mu[j]) + ridge * np.eye(d)
     free = (k - 1) + k * d + k * d * (d + 1) // 2
-    return float(-2 * total.sum() + free * np.log(n))
+    return float(-2 * total.sum() + free * np.log(n)), (mix, mu, cov)
+
+
+def log_parts(x: np.ndarray, mix: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Logarithm of each component's share of the density, a column a component."""
+    logs = np.empty((len(x), len(mu)))
+    for j in range(len(mu)):
+        c = np.linalg.cholesky(cov[j])
+        z = np.linalg.solve(c, (x - mu[j]).T)
+        logs[:, j] = np.log(mix[j] + 1e-300) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(c)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+    return logs
+
+
+def bic(x: np.ndarray, means: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> float:
+    """Of a Gaussian mixture with full covariances fitted by EM from the given means."""
+    return mixture(x, means, rounds, ridge)[0]
+
+
+def sampled(x: np.ndarray, most: int = 500) -> np.ndarray:
+    return x[np.random.default_rng(0).choice(len(x), most, replace=False)] if len(x) > most else x
 
 
 def two_shapes(x: np.ndarray, means: np.ndarray, gain: float = 10.0, most: int = 500, least: int = 60) -> bool:
     """Whether two Gaussians describe standardised points better than one, by more than gain in BIC."""
     if len(x) < least:
         return False
-    x = x[np.random.default_rng(0).choice(len(x), most, replace=False)] if len(x) > most else x
+    x = sampled(x, most)
     return bic(x, x.mean(axis=0, keepdims=True)) - bic(x, means) > gain
 
 
-def shape_clusters(df: DataFrame, keys: list[str], label: str, columns: list[str], min_rows: int = 200) -> DataFrame:
-    """(keys, cluster_id, label, n, usage_pct, purity, means): labels whose shapes aren't two are merged.
+def halves(x: np.ndarray, starts: int = 4, rounds: int = 30) -> np.ndarray:
+    """Means of two groups by the best of several 2-means runs from points drawn far from each other."""
+    rng, best = np.random.default_rng(0), None
+    for _ in range(starts):
+        first = x[rng.integers(len(x))]
+        far = ((x - first) ** 2).sum(axis=1)
+        if far.sum() == 0:
+            return np.stack([first, first])
+        mu = np.stack([first, x[rng.choice(len(x), p=far / far.sum())]])
+        for _ in range(rounds):
+            d = ((x[:, None, :] - mu[None]) ** 2).sum(axis=2)
+            near = d.argmin(axis=1)
+            mu = np.stack([x[near == j].mean(axis=0) if (near == j).any() else mu[j] for j in (0, 1)])
+        if best is None or d.min(axis=1).sum() < best[0]:
+            best = d.min(axis=1).sum(), mu
+    return best[1]
+
+
+def split_once(x: np.ndarray, days: np.ndarray, gain: float = 10.0, share: float = 0.1, least: int = 30, drift: float = 0.85) -> np.ndarray | None:
+    """Which points are the second of two shapes; None where they are one shape, where the smaller is under share or least
+    points, or where the date alone tells them apart (AUC over drift, either way): a change in the season, not two shapes."""
+    if len(x) < 2 * least:
+        return None
+    some = sampled(x)
+    two, parts = mixture(some, halves(some))
+    if bic(some, some.mean(axis=0, keepdims=True)) - two <= gain:
+        return None
+    second = log_parts(x, *parts).argmax(axis=1) == 1
+    n = int(second.sum())
+    small = min(n, len(x) - n)
+    if small < least or small < share * len(x):
+        return None
+    known = ~np.isnan(days)
+    n, others = int(second[known].sum()), int((~second)[known].sum())
+    auc = (pd.Series(days[known]).rank().to_numpy()[second[known]].sum() - n * (n + 1) / 2) / (n * others) if n and others else 0.5
+    return None if max(auc, 1 - auc) > drift else second
+
+
+def shape_clusters(df: DataFrame, keys: list[str], label: str, columns: list[str], min_rows: int = 200, date: str | None = None) -> DataFrame:
+    """(keys, cluster_id, cluster_label, n, usage_pct, purity, labels): labels whose shapes aren't two are merged, pairs of
+    under 60 rows always; then each group of two shapes is split once, if date doesn't tell them apart (without one, no
+    split is ruled out by it). Clusters of one label get the suffixes -2, -3, by falling mean of the first column.
 
     One group is one entity-season of thousands of rows at most; the fits inside take MOST points.
     """
@@ -137,9 +192,10 @@ def shape_clusters(df: DataFrame, keys: list[str], label: str, columns: list[str
         frame = frame.dropna(subset=[*columns, label])
         if len(frame) < min_rows:
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        x = frame[columns].to_numpy(dtype=float)
-        x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) == 0, 1, x.std(axis=0))
+        raw = frame[columns].to_numpy(dtype=float)
+        x = (raw - raw.mean(axis=0)) / np.where(raw.std(axis=0) == 0, 1, raw.std(axis=0))
         names = frame[label].to_numpy()
+        days = frame["_day"].to_numpy()
         root = {n: n for n in sorted(set(names))}
 
         def find(n):
@@ -150,17 +206,29 @@ def shape_clusters(df: DataFrame, keys: list[str], label: str, columns: list[str
             for b in order[i + 1 :]:
                 both = x[(names == a) | (names == b)]
                 means = np.stack([x[names == a].mean(axis=0), x[names == b].mean(axis=0)])
-                if len(both) >= 60 and not two_shapes(both, means):
+                if not two_shapes(both, means):  # so too where they are too few to be told apart
                     root[find(b)] = find(a)
-        cluster = pd.Series([find(n) for n in names])
-        rows = []
-        for i, (_, n) in enumerate(cluster.value_counts().sort_index().sort_values(ascending=False, kind="stable").items()):
-            own = pd.Series(names)[cluster == cluster.value_counts().sort_index().sort_values(ascending=False, kind="stable").index[i]]
-            counts = own.value_counts().sort_index().sort_values(ascending=False, kind="stable")
-            rows.append([*frame[keys].iloc[0].tolist(), i, counts.index[0], int(n), 100.0 * n / len(frame), float(counts.iloc[0] / n), ",".join(sorted(set(own)))])
+        of = np.array([find(n) for n in names])
+        clusters = []
+        for r in sorted(set(of)):
+            own = np.flatnonzero(of == r)
+            second = split_once(x[own], days[own])
+            clusters += [own] if second is None else [own[~second], own[second]]
+        clusters.sort(key=len, reverse=True)
+        counts = [pd.Series(names[own]).value_counts().sort_index().sort_values(ascending=False, kind="stable") for own in clusters]
+        shown = [c.index[0] for c in counts]
+        for name in set(shown):
+            same = sorted((i for i, c in enumerate(counts) if c.index[0] == name), key=lambda i: -raw[clusters[i], 0].mean())
+            for place, i in enumerate(same[1:], 2):
+                shown[i] = f"{name}-{place}"
+        rows = [
+            [*frame[keys].iloc[0].tolist(), i, shown[i], len(own), 100.0 * len(own) / len(frame), float(c.iloc[0] / len(own)), ",".join(sorted(c.index))]
+            for i, (own, c) in enumerate(zip(clusters, counts, strict=True))
+        ]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return df.select(*keys, label, *columns).groupBy(*keys).applyInPandas(fit, schema)
+    day = (F.unix_date(F.col(date).cast("date")) if date else F.lit(0)).cast("double").alias("_day")
+    return df.select(*keys, label, *columns, day).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def primary_and_secondary(df: DataFrame, keys: list[str], usage: str, kind: str) -> DataFrame:

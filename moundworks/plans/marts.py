@@ -90,4 +90,4 @@ def batter_spray(spark: SparkSession, df: DataFrame, spec: dict = grid.SPRAY) ->
 
 def arsenal_clusters(df: DataFrame, first_season: int = 2020) -> DataFrame:
     rows = df.filter(F.col("season") >= first_season).filter("is_tracked_pitch and is_competitive")
-    return shape_clusters(rows, ["pitcher", "season"], "pitch_type", S.CLUSTER, 200)
+    return shape_clusters(rows, ["pitcher", "season"], "pitch_type", S.CLUSTER, 200, "game_date")

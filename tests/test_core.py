@@ -182,6 +182,39 @@ def test_clusters_merge_one_shape_and_keep_two(spark):
     assert [r.labels for r in out] == ["FF,SI", "CU"] and sum(r.usage_pct for r in out) == pytest.approx(100)
 
 
+def shapes(*parts):
+    """Rows of (label, n, velocity, ivb, hb, spin in degrees, first day, days) as in FIXTURES A7."""
+    import numpy as np
+
+    rows = []
+    for seed, (label, n, velo, ivb, hb, spin, first, days) in enumerate(parts):
+        rng = np.random.default_rng(seed)
+        for day in rng.integers(first, first + days, n):
+            sin, cos = math.sin(math.radians(spin)), math.cos(math.radians(spin))
+            shape = rng.normal((velo, ivb, hb, sin, cos), (0.8, 1, 1, 0.03, 0.03))
+            rows.append((1, 2025, label, *map(float, shape), dt.date(2025, 4, 1) + dt.timedelta(int(day))))
+    return rows
+
+
+@pytest.mark.parametrize(
+    "parts, want",
+    [
+        ([("SL", 200, 88, 2, 3, 180, 0, 180), ("SL", 200, 78, -4, 14, 230, 0, 180)], [("SL", 200, 1), ("SL-2", 200, 1)]),
+        ([("SL", 200, 88, 2, 3, 180, 0, 90), ("SL", 200, 78, -4, 14, 230, 90, 90)], [("SL", 400, 1)]),  # one after the other: drift
+        ([("SL", 300, 88, 2, 3, 180, 0, 180), ("SL", 31, 78, -4, 14, 230, 0, 180)], [("SL", 331, 1)]),  # under a tenth
+        ([("FF", 150, 94, 15, 8, 210, 0, 180), ("SI", 150, 94.2, 15.3, 8.1, 211, 0, 180)], [("FF", 300, 0.5)]),
+        ([("FF", 200, 95, 16, 8, 210, 0, 180), ("SL", 150, 85, 1, 2, 100, 0, 180), ("CH", 120, 86, 6, 14, 250, 0, 180)], [("CH", 120, 1), ("FF", 200, 1), ("SL", 150, 1)]),
+        ([("FF", 300, 95, 16, 8, 210, 0, 180), ("CU", 20, 78, -9, -6, 40, 0, 180), ("EP", 20, 55, 1, 2, 100, 0, 180)], [("CU", 40, 0.5), ("FF", 300, 1)]),  # 40 rows together
+    ],
+)
+def test_clusters_split_and_merge_as_the_fixtures(spark, parts, want):
+    schema = "pitcher int, season int, pitch_type string, " + ", ".join(f"{c} double" for c in S.CLUSTER) + ", game_date date"
+    df = spark.createDataFrame(shapes(*parts), schema).withColumns({"is_tracked_pitch": F.lit(True), "is_competitive": F.lit(True)})
+    out = marts.arsenal_clusters(df).collect()
+    assert sorted((r.cluster_label, r.n) for r in out) == [w[:2] for w in want] and sum(r.usage_pct for r in out) == pytest.approx(100)
+    assert [r.purity for r in sorted(out, key=lambda r: r.cluster_label)] == pytest.approx([w[2] for w in want])
+
+
 def test_nearest_breaks_ties_by_key_in_any_row_order(spark):
     rows = [(i, [1.0, 1.0]) for i in range(60, 0, -1)] + [(0, [0.0, 0.0]), (61, [0.0, 3.0])]
     for key in ("long", "string"):
