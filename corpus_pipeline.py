@@ -19,9 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(spark, docs, read_table(spark, sf_dir, "labels"))
 
 
+#: Words of a shingle in the near-dedup stage: op5's own; test_pipeline.py holds the stage to it.
+NEAR_WIDTH = 2
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return near_dedup.keep_one(spark, docs)
+    return near_dedup.keep_one(spark, docs, NEAR_WIDTH)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 5: near-duplicate groups by one-permutation MinHash, optimal densification, bands and star-shaped edges.
 
-A document's set is its distinct two-word shingles (A-Z lower-cased; one word: the whole sequence). Each shingle is
+A document's set is its distinct shingles of WIDTH words, or of another width by parameter (A-Z lower-cased; fewer words:
+the whole sequence). Each shingle is
 hashed once to 64 bits; the hash range is cut into BINS bins and a bin keeps its smallest hash (one permutation). An
 empty bin borrows from the bin that a fixed hash sequence of its own number reaches first and that isn't empty (optimal
 densification). ROWS bins make a band; equal bands put documents into one bucket. Two sets with Jaccard 0.8 share no
@@ -22,7 +23,7 @@ document (that of the smallest set digest stands for it, and any of its texts ma
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, small_batches
 
+WIDTH = 2
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
 SIGMAS = 5.0
@@ -63,14 +65,18 @@ def _donors(tries: int = 2048) -> np.ndarray:
 DONORS = _donors()
 
 
-def shingles(text: bytes | None) -> np.ndarray:
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """The set as sorted distinct 64-bit hashes."""
     words = [xxhash.xxh3_64_intdigest(w) for w in (text or b"").lower().split()]
     h = np.array(words, dtype=np.uint64)
     with np.errstate(over="ignore"):
         if len(h) < 2:
             return mixed(h * MIX2)
-        return np.unique(mixed(mixed(h[:-1] * MIX1 + np.uint64(1)) + h[1:] * MIX2))
+        n = max(1, len(h) - width + 1)
+        out = h[:n]
+        for k in range(1, min(width, len(h))):
+            out = mixed(out * MIX1 + np.uint64(1)) + h[k : k + n] * MIX2
+        return np.unique(mixed(out))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -101,11 +107,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
         return key.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         sizes, digests, bands, sigs, few = [], [], [], [], []
         for text in as_bytes(batch, "text"):
-            s = shingles(text)
+            s = shingles(text, width)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig = signature(s) if len(s) else None
@@ -138,21 +144,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are linked. Rows come sorted by a, so that its set is kept from one to the next."""
     last, mine = None, None
     for batch in small_batches(batches):
         linked = []
         for a, x, y in zip(batch.column("a").to_pylist(), as_bytes(batch, "text_a"), as_bytes(batch, "text_b"), strict=True):
             if a != last:
-                last, mine = a, shingles(x)
-            other = shingles(y)
+                last, mine = a, shingles(x, width)
+            other = shingles(y, width)
             both = len(np.intersect1d(mine, other, assume_unique=True))
             linked.append(100 * both >= 80 * (len(mine) + len(other) - both) > 0)
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFrame, seen: list[DataFrame]) -> DataFrame:
+def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFrame, seen: list[DataFrame], width: int = WIDTH) -> DataFrame:
     """Those of the pairs (a, b), sizes na and nb, that are linked; a table of its own. seen: pairs tested before, which
     aren't tested again; gets those tested now."""
     sig = signed.select("doc_id", "sig", "few")
@@ -166,7 +172,7 @@ def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFr
         return near
     text = docs.select("doc_id", "text")
     full = near.join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return cut(full.mapInArrow(_confirm, "a long, b long"), spark)
+    return cut(full.mapInArrow(partial(_confirm, width=width), "a long, b long"), spark)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +245,10 @@ def _centres(rows: DataFrame, most: int) -> DataFrame:
     return first.select("bucket", F.col("doc_id").alias("centre"), F.col("size").alias("centre_size"), F.col("comp").alias("centre_comp"))
 
 
-def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_sign, SIGNED), spark)
+    signed = cut(docs.mapInArrow(partial(_sign, width=width), SIGNED), spark)
     narrow = signed.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "digest"), "digest").alias("x"), F.first("n_shingles").alias("n")).select("doc_id", F.coalesce("x.n_shingles", "n").alias("n_shingles"), "x.digest")
     classes = cut(narrow.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head")), spark)
     heads = classes.select(F.col("head").alias("doc_id"), F.col("digest").alias("_digest"))
@@ -254,7 +260,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     in_bucket = cut(member.join(buckets.select("bucket", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), "n"), "bucket"), spark)
     seen: list[DataFrame] = []
     first = in_bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_size").alias("na"), F.col("size").alias("nb"))
-    label = components(spark, links(spark, first, signed, docs, seen))
+    label = components(spark, links(spark, first, signed, docs, seen, width))
 
     # the exact rest: what is left of each bucket once its first centre is done
     rows = cut(_of_several(with_component(in_bucket.filter("n > 2 and doc_id <> hub").select("bucket", "doc_id", "size"), label, "doc_id")), spark)
@@ -263,7 +269,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         firsts = cut(_centres(rows, centres), spark)
         pairs = rows.join(firsts, "bucket").filter("comp <> centre_comp")
         pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), F.col("size").alias("na"), F.col("centre_size").alias("nb"))
-        found = links(spark, pairs, signed, docs, seen)
+        found = links(spark, pairs, signed, docs, seen, width)
         rows = rows.join(firsts.select("bucket", F.col("centre").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
         if not found.isEmpty():
             label = merged(spark, label, found)
@@ -276,8 +282,8 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), (F.col("doc_id") == F.col("comp")).alias("kept"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs whose document stands for its group, with the columns of docs; of rows of one doc_id one stays."""
-    kept = groups(spark, docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    kept = groups(spark, docs, width).filter("kept").select(F.col("doc_id").alias("_kept"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"]).select("_row.*")

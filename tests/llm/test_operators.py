@@ -126,6 +126,17 @@ def test_near_dedup_links_through_members_that_are_no_centre(spark):
     assert {i: r.component_id for i, r in got.items()} == root
 
 
+def test_near_dedup_of_another_width(spark):
+    words = VOCABULARY[:100]
+    changed = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(words)]  # two-word sets share 89 of 109, five-word sets 71 of 121
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words)), (4, "a b c")], "doc_id long, text string")
+    assert len({tuple(words[i : i + 5]) for i in range(96)} & {tuple(changed[i : i + 5]) for i in range(96)}) == 71
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(spark, df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    five = by_id(near_dedup.groups(spark, df, width=5))
+    assert {i: (r.component_id, r.n_shingles) for i, r in five.items()} == {1: (1, 96), 2: (2, 96), 3: (1, 96), 4: (4, 1)}
+    assert {r.doc_id for r in near_dedup.keep_one(spark, df, 5).collect()} == {1, 2, 4}
+
+
 def repeated(words_by_key):
     seen = Counter(tuple(w[k : k + 35]) for w in words_by_key.values() for k in range(len(w) - 34))
     return {i: [any(seen[tuple(w[k : k + 35])] > 1 for k in range(max(0, p - 34), min(p, len(w) - 35) + 1)) for p in range(len(w))] for i, w in words_by_key.items()}
