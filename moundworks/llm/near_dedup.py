@@ -1,51 +1,50 @@
 """Operator 5: near-duplicate groups by one-permutation MinHash, optimal densification, bands and star-shaped edges.
 
 A document's set is its distinct shingles of WIDTH words, or of another width by parameter (A-Z lower-cased; fewer words:
-the whole sequence). Each shingle is
-hashed once to 64 bits; the hash range is cut into BINS bins and a bin keeps its smallest hash (one permutation). An
-empty bin borrows from the bin that a fixed hash sequence of its own number reaches first and that isn't empty (optimal
-densification). ROWS bins make a band; equal bands put documents into one bucket. Two sets with Jaccard 0.8 share no
-band with probability (1 - 0.8**8)**64 < 1e-5.
-
-Pairs stay few: documents of equal sets are first folded into a class; a bucket then gives star-shaped edges from its
-smallest document only. Edges whose sizes rule a link out go. Sets of up to SMALL shingles are then compared as a whole by
-32-bit hashes, larger ones are estimated on 8-bit signatures (those five standard deviations below 0.8 go, of the
-signature and of the set's own hashes); what is left is confirmed on full sets: 100 * intersection >= 80 * union. A link
-may be missed where both its ends aren't similar to their bucket's centre; the exact rest: buckets that still hold several components get further centres, twice as many
-a round, paired only with members of other components, until no bucket has unpaired members of different components.
-Components come from repeated hooking to the smallest neighbour and pointer jumping over distributed tables.
-
-Defined cases: null or wordless text has an empty set, is linked with nothing and kept; rows of equal doc_id are one
-document (that of the smallest set digest stands for it, and any of its texts may confirm a pair); an empty table gives an empty table; extra columns are ignored by
-``groups`` and carried by ``keep_one``.
+the whole sequence). Each shingle is hashed once to 64 bits; the hash range is cut into BINS bins and a bin keeps its
+smallest hash (one permutation). An empty bin borrows from the bin that a fixed hash sequence of its own number reaches
+first and that isn't empty (optimal densification). ROWS bins make a band; equal bands put documents into one bucket. Two
+sets with Jaccard 0.8 share no band with probability (1 - 0.8**8)**64 < 1e-5.
+
+Documents of equal sets are first folded into a class. Each bucket's *hub* is its class that shares most buckets with
+others; star-shaped edges go from the hub to the bucket's other classes, so the candidate pairs are no more than the places
+in buckets. They are confirmed on full sets, which the texts give again: 100 * intersection >= 80 * union. Stars alone lose
+links whose ends aren't similar to their hub; the exact rest: of every hub whose classes lie in several components, those
+outside the hub's component are compared with all its classes, in blocks of about BLOCK shingles. A block indexes its sets by
+shingle and counts intersections, so that no pair becomes a row: a block returns links between components only. After that
+any two classes of one bucket are of one component or have been compared.
+
+Components come from repeated hooking to the smallest neighbour and contraction over distributed tables.
+
+Defined cases: null or wordless text has an empty set, is linked with nothing and kept. Rows are told apart by doc_id and
+text: rows of one doc_id with different texts are documents of their own, rows with null doc_id too (their component_id is
+the smallest doc_id of the group, null if it has none; of such a group one row is kept). Rows equal in both are one document
+repeated. An empty table gives an empty table; extra columns are ignored by ``groups`` and carried by ``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, small_batches
+from .common import WORD, as_bytes, cut, small_batches
 
 WIDTH = 2
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
-SIGMAS = 5.0
-#: Sets of up to so many shingles carry 32 bits of each; those of at least SIGNED_FROM carry a signature. Two sets of which
-#: one is larger than SMALL can be linked only if both have a signature.
-SMALL = 320
-SIGNED_FROM = SMALL * 4 // 5
 #: Edges that one task may finish.
 FINISH = 20_000
+#: Shingles of a block of sets that are compared with another block in one task.
+BLOCK = 1_000_000
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, few binary"
+SIGNED = "doc_id long, k long, n_shingles long, digest binary, bands array<long>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,70 +108,77 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        sizes, digests, bands, sigs, few = [], [], [], [], []
+        sizes, digests, bands = [], [], []
         for text in as_bytes(batch, "text"):
             s = shingles(text, width)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sig = signature(s) if len(s) else None
-            bands.append(None if sig is None else band_keys(sig))
-            sigs.append(sig.astype(np.uint8).tobytes() if len(s) >= SIGNED_FROM else None)
-            few.append(s.astype(np.uint32).tobytes() if 0 < len(s) <= SMALL else None)
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(few, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "sig", "few"])
+            bands.append(band_keys(signature(s)) if len(s) else None)
+        columns = [batch.column("doc_id"), batch.column("k"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "n_shingles", "digest", "bands"])
 
 
-def _may_link(few_a: bytes, few_b: bytes) -> bool:
-    """Whether sets of these 32-bit hashes can be linked. Hashes that meet by chance make the union smaller, so no link is
-    ruled out by them."""
-    x, y = np.frombuffer(few_a, dtype=np.uint32), np.frombuffer(few_b, dtype=np.uint32)
-    both = np.sort(np.concatenate((x, y)))
-    union = 1 + np.count_nonzero(both[1:] != both[:-1])
-    return 100 * (len(both) - union) >= 80 * union
+def links_of(asks: list[tuple[int, int, np.ndarray]], answers: list[tuple[int, int, bool, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links between the components of a block: asks (node, comp, set) against answers (node, comp, whether it asks too,
+    set). Components that a link joins count as one from then on, so there are fewer links than components."""
+    if not asks or not answers:
+        return []
+    root: dict[int, int] = {}
 
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    sizes = np.array([len(s) for *_, s in answers], dtype=np.int64)
+    codes, owner = np.concatenate([s for *_, s in answers]), np.repeat(np.arange(len(answers)), sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    out = []
+    for node, comp, mine in asks:
+        start = np.searchsorted(codes, mine, "left")
+        n = np.searchsorted(codes, mine, "right") - start
+        place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[place], minlength=len(answers))
+        for i in np.flatnonzero(100 * both >= 80 * (len(mine) + sizes - both)).tolist():
+            other, other_comp, asking, _ = answers[i]
+            if other == node or (asking and other < node) or find(comp) == find(other_comp):
+                continue
+            root[find(comp)] = find(other_comp)
+            out.append((node, other))
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (hub, part, against): one block after the other."""
+    at, asks, answers, out = None, [], [], []
+
+    def flush() -> pa.RecordBatch:
+        ends = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], names=["a", "b"])
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be linked, by their whole small sets or else by their signatures."""
-    for batch in batches:
-        few_a, few_b, sig_a, sig_b = (batch.column(c).to_pylist() for c in ("few_a", "few_b", "sig_a", "sig_b"))
-        near = np.array([x is not None and y is not None and _may_link(x, y) for x, y in zip(few_a, few_b, strict=True)], dtype=bool)
-        large = np.array([i for i, (x, y, p, q) in enumerate(zip(few_a, few_b, sig_a, sig_b, strict=True)) if (x is None or y is None) and p and q], dtype=np.int64)
-        if len(large):
-            a, b = (np.frombuffer(b"".join([sig[i] for i in large]), dtype=np.uint8).reshape(-1, BINS) for sig in (sig_a, sig_b))
-            size = batch.column("n").to_numpy(zero_copy_only=False)[large]
-            near[large] = (a == b).mean(axis=1) >= 0.8 - SIGMAS * np.sqrt(0.16 * (1 / BINS + 1 / size))
-        yield batch.select(["a", "b"]).filter(pa.array(near))
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are linked. Rows come sorted by a, so that its set is kept from one to the next."""
-    last, mine = None, None
     for batch in small_batches(batches):
-        linked = []
-        for a, x, y in zip(batch.column("a").to_pylist(), as_bytes(batch, "text_a"), as_bytes(batch, "text_b"), strict=True):
-            if a != last:
-                last, mine = a, shingles(x, width)
-            other = shingles(y, width)
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            linked.append(100 * both >= 80 * (len(mine) + len(other) - both) > 0)
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-
-def links(spark: SparkSession, pairs: DataFrame, signed: DataFrame, docs: DataFrame, seen: list[DataFrame], width: int = WIDTH) -> DataFrame:
-    """Those of the pairs (a, b), sizes na and nb, that are linked; a table of its own. seen: pairs tested before, which
-    aren't tested again; gets those tested now."""
-    sig = signed.select("doc_id", "sig", "few")
-    pairs = pairs.filter("100 * least(na, nb) >= 80 * greatest(na, nb)").groupBy("a", "b").agg(F.greatest(F.max("na"), F.max("nb")).alias("n"))
-    if seen:
-        pairs = pairs.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti")
-    both = pairs.join(sig.toDF("a", "sig_a", "few_a"), "a").join(sig.toDF("b", "sig_b", "few_b"), "b").select("a", "b", "n", "sig_a", "sig_b", "few_a", "few_b")
-    near = cut(both.mapInArrow(_alike, "a long, b long"), spark)
-    seen.append(near)
-    if near.isEmpty():
-        return near
-    text = docs.select("doc_id", "text")
-    full = near.join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return cut(full.mapInArrow(partial(_confirm, width=width), "a long, b long"), spark)
+        columns = (batch.column(c).to_pylist() for c in ("hub", "part", "against", "node", "comp", "asks", "rest"))
+        for hub, part, against, node, comp, asking, rest, text in zip(*columns, as_bytes(batch, "text"), strict=True):
+            if (hub, part, against) != at:
+                out += links_of(asks, answers)
+                at, asks, answers = (hub, part, against), [], []
+                if len(out) > 10_000:
+                    yield flush()
+                    out = []
+            s = shingles(text, width)
+            if asking:
+                asks.append((node, comp, s))
+            else:
+                answers.append((node, comp, rest, s))
+    out += links_of(asks, answers)
+    yield flush()
+
+
+def compared(spark: SparkSession, rows: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+    """The links (a, b) of blocks (hub, part, against) of rows node, comp, asks, rest."""
+    full = rows.join(bodies, "node").repartition("hub", "part", "against").sortWithinPartitions("hub", "part", "against")
+    return cut(full.select("hub", "part", "against", "node", "comp", "asks", "rest", "text").mapInArrow(partial(_linked, width=width), "a long, b long"), spark)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,60 +236,95 @@ def with_component(rows: DataFrame, label: DataFrame, on: str) -> DataFrame:
     return rows.join(label.select(F.col("id").alias("_id"), F.col("comp")), F.col(on) == F.col("_id"), "left").drop("_id").withColumn("comp", F.coalesce("comp", on))
 
 
-def _of_several(rows: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components."""
-    several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    return rows.select("bucket", "doc_id", "size", "comp").join(several, "bucket")
-
-
-def _centres(rows: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` members of each bucket, those of its smallest components first: when only members of one component
-    are left to be centres, the bucket is done."""
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("_n", "comp", "doc_id"))
-    first = rows.join(sizes, ["bucket", "comp"]).withColumn("_place", place).filter(F.col("_place") <= most)
-    return first.select("bucket", F.col("doc_id").alias("centre"), F.col("size").alias("centre_size"), F.col("comp").alias("centre_comp"))
+def _parts(size: str) -> Column:
+    return F.ceil(F.col(size) / BLOCK).cast("int")
+
+
+def _part(node: str, of: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col(of)).cast("int")
+
+
+def by_stars(spark: SparkSession, spokes: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+    """Links of the star-shaped edges: each hub against the classes of its buckets."""
+    near = spokes.filter("100 * least(size, hub_size) >= 80 * greatest(size, hub_size)")
+    parts = near.groupBy("hub").agg(F.sum("size").alias("all")).select("hub", _parts("all").alias("parts"))
+    blocked = near.select("hub", "node").join(parts, "hub")
+    no = F.lit(False)
+    answers = blocked.select("hub", _part("node", "parts").alias("part"), F.lit(0).alias("against"), "node", F.col("node").alias("comp"), no.alias("asks"), no.alias("rest"))
+    asks = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("against"), F.col("hub").alias("node"), F.col("hub").alias("comp"), F.lit(True).alias("asks"), no.alias("rest"))
+    return compared(spark, answers.union(asks), bodies, width)
+
+
+def by_blocks(spark: SparkSession, spokes: DataFrame, label: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+    """Links that the stars missed: of hubs with several components, the classes outside the hub's against all."""
+    hubs = spokes.groupBy("hub").agg(F.max("hub_size").alias("size")).select("hub", F.col("hub").alias("node"), "size")
+    members = with_component(spokes.select("hub", "node", "size").union(hubs), label, "node")
+    own = F.max(F.when(F.col("node") == F.col("hub"), F.col("comp")))
+    several = members.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), own.alias("main")).filter("lo < hi").select("hub", "main")
+    members = cut(members.join(several, "hub").withColumn("rest", F.col("comp") != F.col("main")), spark)
+    if members.isEmpty():
+        return members.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    parts = members.groupBy("hub").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("rest"), F.col("size"))).alias("some")).select("hub", _parts("all").alias("parts"), _parts("some").alias("askers"))
+    blocked = members.join(parts, "hub")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    answers = blocked.select("hub", _part("node", "parts").alias("part"), upto("askers").alias("against"), "node", "comp", F.lit(False).alias("asks"), "rest")
+    asks = blocked.filter("rest").select("hub", upto("parts").alias("part"), _part("node", "askers").alias("against"), "node", "comp", F.lit(True).alias("asks"), "rest")
+    return compared(spark, answers.union(asks), bodies, width)
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(doc, doc.isNull(), text, text.isNull())
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("k"))
+
+
+def _grouped(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, k, n_shingles, component_id, stands (whether it is the one that stands for its group): a row for each of docs."""
+    docs = _keyed(docs)
+    signed = cut(docs.select("doc_id", "k", "text").mapInArrow(partial(_sign, width=width), SIGNED), spark)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("head")
+    classes = signed.filter("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), spark)  # numbered once: the table is written
+
+    member = classes.select("node", "size", F.explode("bands").alias("bucket"))
+    buckets = member.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    in_bucket = cut(member.join(buckets, "bucket"), spark)
+    central = in_bucket.groupBy("node").agg(F.sum("members").alias("weight"))
+    hubs = in_bucket.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("last"), "size")).alias("h"))
+    hubs = hubs.select("bucket", (-F.col("h.last")).alias("hub"), F.col("h.size").alias("hub_size"))
+    spokes = cut(in_bucket.join(hubs, "bucket").filter("node <> hub").select("hub", "hub_size", "node", "size").distinct(), spark)
+
+    wanted = spokes.select(F.explode(F.array("hub", "node")).alias("node")).distinct().join(classes.select("node", F.col("head.k").alias("k")), "node")
+    bodies = cut(docs.select("k", "text").join(wanted, "k").groupBy("node").agg(F.first("text").alias("text")), spark)
+    label = components(spark, by_stars(spark, spokes, bodies, width))
+    more = by_blocks(spark, spokes, label, bodies, width)
+    if not more.isEmpty():
+        label = merged(spark, label, more)
+
+    placed = cut(with_component(classes.select("digest", "node", "head"), label, "node").select("digest", "comp", "head"), spark)
+    heads = placed.groupBy("comp").agg(F.min("head").alias("first"))
+    placed = placed.join(heads, "comp").select(F.col("digest").alias("_digest"), "first")
+    rows = signed.select("doc_id", "k", "n_shingles", "digest").join(placed, F.col("digest") == F.col("_digest"), "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stands = F.col("digest").isNull() | ((F.col("k") == F.col("first.k")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    return rows.select("doc_id", "k", "n_shingles", component.alias("component_id"), stands.alias("stands"))
 
 
 def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(partial(_sign, width=width), SIGNED), spark)
-    narrow = signed.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "digest"), "digest").alias("x"), F.first("n_shingles").alias("n")).select("doc_id", F.coalesce("x.n_shingles", "n").alias("n_shingles"), "x.digest")
-    classes = cut(narrow.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head")), spark)
-    heads = classes.select(F.col("head").alias("doc_id"), F.col("digest").alias("_digest"))
-    # one row a class; several rows of one doc_id with other texts don't match its digest
-    signed = signed.join(heads, "doc_id").filter("digest = _digest").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig", "few")
-    signed = cut(signed, spark)
-    member = signed.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    in_bucket = cut(member.join(buckets.select("bucket", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), "n"), "bucket"), spark)
-    seen: list[DataFrame] = []
-    first = in_bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_size").alias("na"), F.col("size").alias("nb"))
-    label = components(spark, links(spark, first, signed, docs, seen, width))
-
-    # the exact rest: what is left of each bucket once its first centre is done
-    rows = cut(_of_several(with_component(in_bucket.filter("n > 2 and doc_id <> hub").select("bucket", "doc_id", "size"), label, "doc_id")), spark)
-    centres = 4
-    while not rows.isEmpty():
-        firsts = cut(_centres(rows, centres), spark)
-        pairs = rows.join(firsts, "bucket").filter("comp <> centre_comp")
-        pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), F.col("size").alias("na"), F.col("centre_size").alias("nb"))
-        found = links(spark, pairs, signed, docs, seen, width)
-        rows = rows.join(firsts.select("bucket", F.col("centre").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        if not found.isEmpty():
-            label = merged(spark, label, found)
-            rows = with_component(rows.select("bucket", "doc_id", "size"), label, "doc_id")
-        rows = cut(rows, spark)  # _of_several reads it twice
-        rows = cut(_of_several(rows), spark)
-        centres *= 4
-
-    whole = with_component(narrow.join(classes, "digest", "left").withColumn("head", F.coalesce("head", "doc_id")), label, "head")
-    return whole.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), (F.col("doc_id") == F.col("comp")).alias("kept"))
+    """doc_id, n_shingles, component_id, kept: a row for each of docs."""
+    rows = _grouped(spark, docs, width)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stands")).alias("kept"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs whose document stands for its group, with the columns of docs; of rows of one doc_id one stays."""
-    kept = groups(spark, docs, width).filter("kept").select(F.col("doc_id").alias("_kept"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"]).select("_row.*")
+    """The rows of docs that stand for their group, with the columns of docs. All rows without words stay; of rows equal in
+    doc_id and text one stays, that of the smallest hash over all columns."""
+    reps = _grouped(spark, docs, width).filter("stands and n_shingles > 0").select(F.col("k").alias("_k")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(*docs.columns).alias("_h"), row_key().alias("_k"), F.col("text").cast("string").alias("_t"))
+    worded = F.coalesce(F.col("_t").rlike(WORD), F.lit(False))
+    one = rows.filter(worded).join(reps, "_k", "left_semi").groupBy("_k").agg(F.min_by("_row", "_h").alias("_row"))
+    return one.select("_row.*").union(rows.filter(~worded).select("_row.*"))

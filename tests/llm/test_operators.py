@@ -310,9 +310,50 @@ def test_components_of_any_size_of_the_last_task(spark, monkeypatch, finish):
     assert near_dedup.components(spark, edges.limit(0)).count() == 0
 
 
-def test_small_sets_are_never_ruled_out_below_the_threshold():
-    import numpy as np
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.booleans(), st.sets(st.integers(0, 9), min_size=1)), min_size=1, max_size=9))
+def test_blocks_join_what_pairs_would(rows):
+    """links_of against all pairs: the same components; an asking row also answers, as in by_blocks."""
+    sets = [(i, comp, rest, np.array(sorted(s), dtype=np.uint64)) for i, (comp, rest, s) in enumerate(rows)]
+    got = near_dedup.links_of([(i, comp, s) for i, comp, rest, s in sets if rest], sets)
+
+    def merged(edges):
+        of = {i: comp for i, comp, _, _ in sets}
+        for a, b in edges:
+            of = {i: of[b] if c == of[a] else c for i, c in of.items()}
+        return sorted(sorted(i for i in of if of[i] == c) for c in set(of.values()))
+
+    near = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    want = [(i, j) for i, _, rest, s in sets for j, _, _, t in sets if rest and i != j and near(s.tolist(), t.tolist())]
+    assert set(got) <= set(want) and merged(got) == merged(want)
+
+
+@pytest.mark.parametrize("block", [300, 1_000_000])
+def test_near_dedup_equals_all_pairs_around_the_threshold(spark, monkeypatch, block):
+    """Copies of one text with few to many words changed, so that about half of all pairs are links, in one block or many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng, base, rows = random.Random(11), [f"b{i}" for i in range(150)], []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(16)):
+            words[k] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    got = by_id(near_dedup.groups(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == root and len(set(root.values())) > 5
+
 
-    a = np.arange(90, dtype=np.uint32)
-    assert near_dedup._may_link(a.tobytes(), a[:72].tobytes())
-    assert not near_dedup._may_link(a.tobytes(), a[:71].tobytes())
+def test_near_dedup_loses_no_row_of_null_or_repeated_id(spark):
+    long = " ".join(f"v{i}" for i in range(300_000))  # 2 MB
+    rows = [(None, "a b c d"), (None, "x y z"), (None, None), (None, None), (7, "q r s"), (7, "t u v"), (7, "q r s"), (9, "Q r s"), (3, long), (4, long + " end"), (None, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("mine"))
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.groups(spark, df).collect())
+    assert got == sorted([(0, 0, True), (0, 0, True), (0, 0, True), (0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False), (3, 3, True), (4, 3, False)])
+    kept = near_dedup.keep_one(spark, df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted([(0, 7), (0, 5), (0, 0), (0, 0), (7, 5), (7, 5), (3, len(long))])
