@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -66,10 +66,11 @@ def circular_mean(sin: Column, cos: Column) -> Column:
 
 
 def location_class(x: Column, z: Column) -> Column:
-    """Cell 0-24 of a 5 x 5 grid around the zone (x in -1.5..1.5 ft, z in -0.5..1.5 of its height), 25 beyond, null unmeasured."""
-    i, j = F.floor((x + 1.5) / 0.6).cast("int"), F.floor((z + 0.5) / 0.4).cast("int")
-    inside = i.between(0, 4) & j.between(0, 4)
-    return F.when(x.isNull() | z.isNull(), None).when(inside, i * 5 + j).otherwise(25)
+    """row * 5 + column of a 5 x 5 grid around the zone (columns by x in -1.5..1.5 ft, rows by z in -0.5..1.5 of its height,
+    from below), 25 beyond, null unmeasured."""
+    column, row = F.floor((x + 1.5) / 3.0 * 5).cast("int"), F.floor((z + 0.5) / 2.0 * 5).cast("int")
+    inside = column.between(0, 4) & row.between(0, 4)
+    return F.when(x.isNull() | z.isNull(), None).when(inside, row * 5 + column).otherwise(25)
 
 
 def count_key(balls: Column, strikes: Column) -> Column:
@@ -118,3 +119,17 @@ def clean_null(c: Column) -> Column:
 
 def escape_like(term: str) -> str:
     return term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def without_scratch(df: DataFrame) -> DataFrame:
+    """df without the columns whose names start with an underscore."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def top_probabilities(probs: Column, classes: list[str], least: float = 0.005, k: int | None = None) -> Column:
+    """An array of (class, probability), largest first, ties by the class's place; those under ``least`` are left out."""
+    pairs = F.transform(probs, lambda p, i: F.struct((-p).alias("minus"), i.alias("i")))
+    kept = F.array_sort(F.filter(pairs, lambda x: -x["minus"] >= least))
+    kept = F.slice(kept, 1, k) if k else kept
+    names = F.array(*map(F.lit, classes))
+    return F.transform(kept, lambda x: F.struct(F.get(names, x["i"]).alias("class"), F.round(-x["minus"], 4).alias("probability")))

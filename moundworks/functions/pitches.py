@@ -66,31 +66,75 @@ def takes(df: DataFrame, officials: DataFrame | None = None) -> DataFrame:
     return rows.join(officials.select("game_pk", F.col("umpire_home_plate_id").alias("umpire_hp")), "game_pk", "left")
 
 
+#: Columns that scouts of swings need to be tracked; bat tracking starts in this season.
+FIRST_SWING_SEASON = 2023
+
+
+def swing_frame(df: DataFrame, season: int | None = None) -> DataFrame:
+    """Tracked, competitive swings of the regular season with a measured attack angle and approach angle."""
+    rows = df.filter("is_tracked_pitch and is_competitive and game_type = 'R' and attack_angle is not null and vaa_deg is not null")
+    return swing_features(rows.filter(F.col("season") >= FIRST_SWING_SEASON if season is None else F.col("season") == season))
+
+
+def rows_for(role: str, df: DataFrame) -> DataFrame:
+    """The rows that a swing head learns from: all swings, or the balls in play with an estimate."""
+    if role == "whiff":
+        return df.filter("is_whiff is not null")
+    if role == "contact":
+        return df.filter("is_in_play and estimated_woba_using_speedangle is not null")
+    raise ValueError(f"{role!r} is neither whiff nor contact")
+
+
 CHRONO = ["game_date", "game_pk", "at_bat_number", "pitch_number"]
 
 
 def next_pitch_features(df: DataFrame, pending: str | None = None) -> DataFrame:
     """The pre-pitch features of every row. pending names a boolean column that marks rows still to be thrown: they come
-    last in every window. One exchange for the plate appearance, one for (pitcher, season)."""
+    last in every window.
+
+    Priors count all earlier pitches of the pitcher's season, whether their type is known or not; rates are null until there
+    is one. Two exchanges: one by game for its three windows (plate appearance, pitcher's outing, batter), one by pitcher and
+    season for the other two.
+    """
     c = F.col
     order = [*([c(pending)] if pending else []), *CHRONO]
-    pa = Window.partitionBy("game_pk", "at_bat_number").orderBy(*order)
-    outing = Window.partitionBy("pitcher", "season", "game_pk").orderBy(*order)
-    season = Window.partitionBy("pitcher", "season").orderBy(*order)
-    by_count = Window.partitionBy("pitcher", "season", "balls", "strikes").orderBy(*order)
-    met = Window.partitionBy("game_pk", "batter").orderBy(*order)
-    out = {f"prev_pitch_type_{k}": F.lag("pitch_type", k).over(pa) for k in (1, 2, 3)}
-    out |= {"prev_plate_x_1": F.lag("plate_x").over(pa), "prev_plate_z_norm_1": F.lag("plate_z_norm").over(pa), "prev_velo_1": F.lag("release_speed").over(pa)}
-    out |= {f"prev_was_{k}_1": F.lag(f"is_{k}").over(pa) for k in ("swing", "whiff", "in_zone")}
-    out |= {"last_pitch_type_vs_batter": F.lag("pitch_type").over(met), "pitch_count_in_game": F.row_number().over(outing) - 1, "pitch_in_ab": F.row_number().over(pa)}
-    typed = prior_sum(c("pitch_type").isNotNull().cast("int"), season)
-    rate = lambda hit: F.when(typed > 0, prior_sum(hit.cast("int"), season) / typed.cast("double"))
-    out |= {f"prior_usage_{t.lower()}": rate(c("pitch_type") == t) for t in S.PRIOR_TYPES}
-    out |= {"prior_usage_ff_family": rate(c("pitch_type").isin(*S.FAMILIES["fastball"])), "prior_usage_breaking": rate(c("pitch_type").isin(*S.FAMILIES["breaking"])), "prior_usage_offspeed": rate(c("pitch_type").isin(*S.FAMILIES["offspeed"]))}
-    here = prior_sum(c("pitch_type").isNotNull().cast("int"), by_count)
-    out |= {"prior_zone_rate": rate(c("is_in_zone")), "prior_pitches_seen": typed, "prior_usage_this_count": F.when(typed > 0, here / typed.cast("double"))}
-    out |= {"score_diff": c("fld_score") - c("bat_score"), "is_home_pitching": c("inning_topbot") == "Top", "is_platoon_same": c("stand") == c("p_throws"), "base_out_state": c("base_state") * 3 + c("outs_when_up"), "location_class": E.location_class(c("plate_x"), c("plate_z_norm"))}
-    return df.withColumns(out)
+    over = lambda *keys: Window.partitionBy(*keys).orderBy(*order)
+    pa, outing, met = over("game_pk", "at_bat_number"), over("game_pk", "pitcher"), over("game_pk", "batter")
+    season, by_count = over("pitcher", "season"), over("pitcher", "season", "balls", "strikes")
+    rows = df.repartition("game_pk").withColumns({
+        **{f"prev_pitch_type_{k}": F.lag("pitch_type", k).over(pa) for k in (1, 2, 3)},
+        "prev_plate_x_1": F.lag("plate_x").over(pa), "prev_plate_z_norm_1": F.lag("plate_z_norm").over(pa), "prev_velo_1": F.lag("release_speed").over(pa),
+        **{f"prev_was_{k}_1": F.lag(c(f"is_{k}").cast("int")).over(pa) for k in ("swing", "whiff", "in_zone")},
+        "last_pitch_type_vs_batter": F.lag("pitch_type").over(met), "pitch_count_in_game": F.row_number().over(outing) - 1,
+    })
+    hits = {f"usage_{t.lower()}": c("pitch_type") == t for t in S.PRIOR_TYPES}
+    hits |= {"usage_ff_family": c("pitch_type").isin(*S.FAMILIES["fastball"]), "usage_breaking": c("pitch_type").isin(*S.FAMILIES["breaking"]), "usage_offspeed": c("pitch_type").isin(*S.FAMILIES["offspeed"]), "zone_rate": c("is_in_zone")}
+    rows = rows.repartition("pitcher", "season").withColumns({
+        "prior_pitches_seen": F.row_number().over(season) - 1, "prior_usage_this_count": F.row_number().over(by_count) - 1,
+        **{f"_{k}": prior_sum(hit.cast("int"), season) for k, hit in hits.items()},
+    })
+    seen = c("prior_pitches_seen").cast("double")
+    rows = rows.withColumns({f"prior_{k}": F.when(seen > 0, c(f"_{k}") / seen) for k in hits})
+    rows = rows.withColumns({
+        "score_diff": c("bat_score") - c("fld_score"), "is_home_pitching": (c("inning_topbot") == "Top").cast("int"), "is_platoon_same": (c("stand") == c("p_throws")).cast("int"),
+        "base_out_state": (c("base_state") * 3 + c("outs_when_up")).cast("int"), "pitch_in_ab": c("pitch_number"),
+        "target_pitch_type": c("pitch_type"), "target_location": E.location_class(c("plate_x"), c("plate_z_norm")),
+    })
+    return rows.drop(*[f"_{k}" for k in hits])
+
+
+def feature_matrix(df: DataFrame) -> DataFrame:
+    """The model's inputs in their fixed order; refuses a frame that lacks one."""
+    check_features(S.NEXT_PITCH)
+    if missing := sorted(set(S.NEXT_PITCH) - set(df.columns)):
+        raise ValueError(f"features are missing: {missing}")
+    return df.select(*S.NEXT_PITCH)
+
+
+def feature_matrix_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The inputs beside the columns that tell the rows apart."""
+    feature_matrix(df)
+    return df.select(*keys, *S.NEXT_PITCH)
 
 
 def check_features(names: list[str]) -> None:
@@ -99,20 +143,7 @@ def check_features(names: list[str]) -> None:
         raise ValueError(f"features known only after the pitch: {leaks}")
 
 
-def split_by_date(df: DataFrame, train: float = 0.7, valid: float = 0.15) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three parts at date boundaries: no date, so no plate appearance, is in two."""
-    days = df.groupBy("game_date").agg(F.count("*").alias("n")).orderBy("game_date").collect()  # one row a date
-    total, so_far, ends = sum(r.n for r in days), 0, []
-    for goal in (train, train + valid):
-        while days and so_far < goal * total:
-            last = days.pop(0)
-            so_far += last.n
-        ends.append(last.game_date)
-    d = F.col("game_date")
-    return df.filter(d <= ends[0]), df.filter((d > ends[0]) & (d <= ends[1])), df.filter(d > ends[1])
-
-
-def holdout(df: DataFrame, key: str, percent: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, valid, test) by a hash of an entity; valid and test are disjoint halves of the holdout."""
-    h = F.pmod(F.xxhash64(key), F.lit(200))
-    return df.filter(h >= 2 * percent), df.filter(h < percent), df.filter((h >= percent) & (h < 2 * percent))
+def check_sets() -> None:
+    """Shape and place share one feature only, the platoon."""
+    if (both := set(S.STUFF) & set(S.LOCATION)) != {"is_platoon_same"}:
+        raise ValueError(f"shape and place share {sorted(both)}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,7 @@ def hull_points(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return side(points) + side(points[::-1])
 
 
-def convex_hull(df: DataFrame, key: str, x: str, y: str, sectors: int = 64) -> DataFrame:
+def convex_hull(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, k, x, y). A hull's corner is extreme in some direction of its partition: rows are first cut down to local hulls
     by partition (no shuffle), so that a group's task gets few points however many rows it has."""
     schema = f"{key} {dict(df.dtypes)[key]}, x double, y double"
@@ -77,3 +77,40 @@ def park_wall(markers: DataFrame, key: str, points: int = 41) -> DataFrame:
 
     a = F.radians(curve("angle"))
     return rows.select(key, "k", (F.sin(a) * curve("distance")).alias("x"), (F.cos(a) * curve("distance")).alias("y"))
+
+
+#: Distances in feet to the left line, left alley, centre, right alley and right line of each park.
+PARKS = {
+    "AZ": (330, 374, 407, 374, 334), "ATL": (335, 385, 400, 375, 325), "ATH": (330, 367, 403, 367, 325), "BAL": (333, 364, 410, 373, 318),
+    "BOS": (310, 379, 390, 380, 302), "CHC": (355, 368, 400, 368, 353), "CIN": (328, 379, 404, 370, 325), "CLE": (325, 370, 405, 375, 325),
+    "COL": (347, 390, 415, 375, 350), "CWS": (330, 375, 400, 375, 335), "DET": (345, 370, 412, 365, 330), "HOU": (315, 362, 409, 373, 326),
+    "KC": (330, 387, 410, 387, 330), "LAA": (330, 387, 396, 370, 330), "LAD": (330, 375, 395, 375, 330), "MIA": (344, 386, 400, 392, 335),
+    "MIL": (344, 371, 400, 374, 345), "MIN": (339, 377, 404, 367, 328), "NYM": (335, 358, 408, 375, 330), "NYY": (318, 399, 408, 385, 314),
+    "PHI": (329, 374, 401, 369, 330), "PIT": (325, 389, 399, 375, 320), "SD": (336, 390, 396, 391, 322), "SEA": (331, 378, 401, 381, 326),
+    "SF": (339, 364, 399, 415, 309), "STL": (336, 375, 400, 375, 335), "TB": (315, 370, 404, 370, 322), "TEX": (329, 372, 407, 374, 326),
+    "TOR": (328, 375, 400, 375, 328), "WSH": (336, 377, 402, 370, 335),
+}
+#: The angles of those markers, from dead centre, the left line first.
+MARKS = (-45.0, -22.5, 0.0, 22.5, 45.0)
+
+
+def parks(spark: SparkSession) -> DataFrame:
+    """(park, marks) for ``park_wall``."""
+    rows = [(name, [(a, float(d)) for a, d in zip(MARKS, at, strict=True)]) for name, at in PARKS.items()]
+    return spark.createDataFrame(rows, "park string, marks array<struct<angle:double,distance:double>>")
+
+
+def nearest_point(points: DataFrame, keys: list[str], x: str, y: str, at_x: Column, at_y: Column, within: float) -> DataFrame:
+    """The point of each group that is nearest to a place, if it is within a distance; ties by the keys' own order are left to
+    x, then y. One aggregate."""
+    d = F.hypot(F.col(x) - at_x, F.col(y) - at_y)
+    best = points.groupBy(*keys).agg(F.min(F.struct(d.alias("distance"), F.col(x).alias("x"), F.col(y).alias("y"))).alias("b"))
+    return best.select(*keys, "b.*").filter(F.col("distance") <= within)
+
+
+def fitted_view(points: DataFrame, x: str, y: str, width: float, height: float, margin: float = 0.05) -> DataFrame:
+    """One row: centre_x, centre_y and the scale at which all points fit into width x height with a margin on each side."""
+    ends = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    room = 1 - 2 * margin
+    scale = F.least(F.try_divide(F.lit(width * room), F.col("x1") - F.col("x0")), F.try_divide(F.lit(height * room), F.col("y1") - F.col("y0")))
+    return ends.select(((F.col("x0") + F.col("x1")) / 2).alias("centre_x"), ((F.col("y0") + F.col("y1")) / 2).alias("centre_y"), scale.alias("scale"))

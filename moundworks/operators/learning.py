@@ -1,96 +1,76 @@
-"""Run values, usage baselines, encodings, neighbours and clusters."""
+"""Usage baselines, repertoires, calibration, and clusters of shapes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relops import keep_first
-
-
-def run_values(df: DataFrame, pa: list[str], order: list[str], count: str, value: str, event: str, contact: str | None = None, min_fit: int = 100) -> DataFrame:
-    """Adds terminal, re (of the count), rv_batting, rv_pitcher, is_last. Terminal value: mean of value by event, for contact
-    events with an estimate the least-squares line of value on it (from min_fit rows up). Two windows on one partitioning."""
-    w = Window.partitionBy(*pa).orderBy(*order)
-    back = Window.partitionBy(*pa).orderBy(*[F.col(c).desc() for c in order])
-    rows = df.withColumn("is_last", F.row_number().over(back) == 1).withColumn("next_count", F.lead(count).over(w))
-    ends = rows.filter("is_last")
-    means = ends.filter(F.col(event).isNotNull()).groupBy(F.col(event).alias("_e")).agg(F.avg(value).alias("w_event"))
-    last = ends.join(means, F.col(event) == F.col("_e"), "left").drop("_e")
-    terminal = F.col("w_event")
-    if contact:
-        line = ends.filter(F.col(contact).isNotNull()).agg(F.regr_slope(value, contact).alias("_b"), F.regr_intercept(value, contact).alias("_a"), F.count("*").alias("_fit"))
-        last = last.join(F.broadcast(line))
-        terminal = F.when(F.col(contact).isNotNull() & (F.col("_fit") >= min_fit), F.col("_a") + F.col("_b") * F.col(contact)).otherwise(terminal)
-    values = last.select(*pa, terminal.alias("terminal"))
-    rows = rows.join(values, pa, "left")
-    table = rows.filter("terminal is not null").select(*pa, count, "terminal").distinct().groupBy(count).agg(F.avg("terminal").alias("re"))
-    table = F.broadcast(table)  # one row a count: twelve
-    rows = rows.join(table, count, "left").join(table.select(F.col(count).alias("next_count"), F.col("re").alias("re_next")), "next_count", "left")
-    batting = F.when(F.col("terminal").isNotNull(), F.when(F.col("is_last"), F.col("terminal")).otherwise(F.col("re_next")) - F.col("re"))
-    return rows.withColumn("rv_batting", batting).withColumn("rv_pitcher", -batting).drop("re_next")
+#: Kinds that a baseline can tell apart: pitch types and event types are a fixed vocabulary.
+MOST_KINDS = 1000
 
 
 def usage_baseline(df: DataFrame, entity: str, bucket: str, kind: str, alpha: float = 1.0) -> DataFrame:
-    """(entity, bucket, kind, p): Laplace-smoothed shares by entity and bucket; entities fall back to their own share where a
-    bucket was never seen, and to the league's in the column league_p."""
-    kinds = df.groupBy(kind).agg(F.count("*").alias("league_n"))
-    total = kinds.agg(F.sum("league_n").alias("league_total"), F.count("*").cast("double").alias("k"))
-    cells = df.groupBy(entity, bucket, kind).agg(F.count("*").alias("n"))
-    seen = cells.groupBy(entity, bucket).agg(F.sum("n").alias("total"))
-    own = cells.groupBy(entity, kind).agg(F.sum("n").alias("own_n"))
-    own_total = cells.groupBy(entity).agg(F.sum("n").alias("own_total"))
-    grid = seen.join(F.broadcast(kinds)).join(F.broadcast(total))  # kinds are a fixed small vocabulary
-    out = grid.join(cells, [entity, bucket, kind], "left").join(own, [entity, kind], "left").join(own_total, entity)
-    share = lambda n, t: (F.coalesce(F.col(n), F.lit(0)) + alpha) / (F.col(t) + alpha * F.col("k"))
-    return out.select(entity, bucket, kind, share("n", "total").alias("p"), share("own_n", "own_total").alias("own_p"), share("league_n", "league_total").alias("league_p"))
-
-
-def slot_encoding(df: DataFrame, keys: list[str], usage: str, values: list[str], slots: int = 6, tie: str = "kind") -> DataFrame:
-    """One array a group: for the slots by falling usage the usage and the values; empty slots have usage 0 and the means."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(usage).desc(), F.col(tie)))
-    means = df.agg(*[F.avg(v).alias(f"_m_{v}") for v in values])
-    ranked = df.withColumn("_slot", rank).filter(F.col("_slot") <= slots)
-    packed = ranked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(F.col(usage).cast("double").alias("u"), *[F.col(v).cast("double").alias(v) for v in values])))).alias("m"))
-    packed = packed.join(F.broadcast(means))
-    one = lambda s: [F.coalesce(F.try_element_at("m", F.lit(s))["u"], F.lit(0.0)), *[F.coalesce(F.try_element_at("m", F.lit(s))[v], F.col(f"_m_{v}")) for v in values]]
-    return packed.select(*keys, F.array(*[c for s in range(1, slots + 1) for c in one(s)]).alias("vector"))
-
-
-def nearest(spark: SparkSession, df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, block: int = 4096) -> DataFrame:
-    """(key, rank, neighbor, distance): exact nearest neighbours of a stated query set against all rows, self excluded.
-
-    Equal distances go by the neighbour's key. The queries (one block of bounded size after another) are broadcast; each
-    partition keeps its k best a query by (distance, key), and only those meet. queries: None takes all rows as queries, for marts of thousands of rows.
-    """
-    wanted = (queries if queries is not None else df).select(key, vector).orderBy(key)
-    rows = wanted.collect()
-    out = None
-    for start in range(0, len(rows), block):
-        part = rows[start : start + block]
-        ids, q = [r[0] for r in part], np.array([r[1] for r in part], dtype=np.float64)
-
-        def search(frames, ids=ids, q=q):
-            best: list[pd.DataFrame] = []
-            for f in frames:
-                x, own = np.array(f[vector].tolist(), dtype=np.float64), f[key].to_numpy()
-                order = f[key].argsort(kind="stable").to_numpy()  # rows by key: the stable sort by distance then breaks ties by it
-                x, own = x[order], own[order]
-                for at in range(0, len(x), 2048):
-                    d = np.sqrt(((q[:, None, :] - x[None, at : at + 2048, :]) ** 2).sum(axis=2))
-                    d[np.equal.outer(np.array(ids), own[at : at + 2048])] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    best.append(pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "n": own[at : at + 2048][top].ravel(), "d": np.take_along_axis(d, top, 1).ravel()}))
-                if best:
-                    best = [pd.concat(best).sort_values(["d", "n"]).groupby("q", sort=False).head(k)]
-            yield from (b[np.isfinite(b.d)] for b in best)
-
-        found = df.select(key, vector).mapInPandas(search, f"q {dict(df.dtypes)[key]}, n {dict(df.dtypes)[key]}, d double")
-        out = found if out is None else out.union(found)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("n").alias("neighbor"), F.col("d").alias("distance"))
+    """(entity, bucket, kind, p, own_p, league_p) for every entity and bucket seen: Laplace-smoothed shares in the bucket, over
+    all of the entity's rows, and of the league."""
+    counts, kinds, total = _counted(df, entity, bucket, kind)
+    cells = counts.groupBy(entity, bucket).agg(F.map_from_entries(F.collect_list(F.struct(kind, "n"))).alias("cell"), F.sum("n").alias("t"))
+    own = counts.groupBy(entity, kind).agg(F.sum("n").alias("n")).groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(kind, "n"))).alias("own"), F.sum("n").alias("own_t"))
+    rows = cells.join(own, entity).withColumn("k", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(n).alias("n")) for v, n in kinds])))
+    share = lambda n, t: (F.coalesce(n, F.lit(0)) + alpha) / (t + alpha * len(kinds))
+    of = lambda m: F.try_element_at(m, F.col("k.v"))
+    return rows.select(entity, bucket, F.col("k.v").alias(kind), share(of("cell"), F.col("t")).alias("p"), share(of("own"), F.col("own_t")).alias("own_p"), share(F.col("k.n"), F.lit(total)).alias("league_p"))
+
+
+def _counted(df: DataFrame, entity: str, bucket: str, kind: str) -> tuple[DataFrame, list[tuple], int]:
+    counts = df.filter(F.col(kind).isNotNull()).groupBy(entity, bucket, kind).agg(F.count("*").alias("n"))
+    kinds = [(r[0], r.n) for r in counts.groupBy(kind).agg(F.sum("n").alias("n")).orderBy(kind).limit(MOST_KINDS + 1).collect()]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"{kind} has more than {MOST_KINDS} values: no vocabulary of kinds")
+    return counts, kinds, sum(n for _, n in kinds)
+
+
+def baseline_probabilities(df: DataFrame, train: DataFrame, entity: str, bucket: str, kind: str, classes: list[str], alpha: float = 1.0) -> DataFrame:
+    """df with ``baseline``, an array of probabilities by class: the entity's in the bucket, else the entity's, else the
+    league's. The league's is a literal, the others two left joins."""
+    counts, kinds, _ = _counted(train.filter(F.col(kind).isin(*classes)), entity, bucket, kind)
+
+    def shares(of: Column) -> Column:
+        raw = F.array(*[F.coalesce(F.try_element_at(of, F.lit(c)), F.lit(0)) + alpha for c in classes])
+        return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda s, x: s + x))
+
+    packed = F.map_from_entries(F.collect_list(F.struct(kind, "n")))
+    cells = counts.groupBy(entity, bucket).agg(packed.alias("m")).select(F.col(entity).alias("_e"), F.col(bucket).alias("_b"), shares(F.col("m")).alias("_cell"))
+    own = counts.groupBy(entity, kind).agg(F.sum("n").alias("n")).groupBy(F.col(entity).alias("_o")).agg(packed.alias("m")).select("_o", shares(F.col("m")).alias("_own"))
+    seen = dict(kinds)
+    league = [seen.get(c, 0) + alpha for c in classes]
+    joined = df.join(cells, (F.col(entity) == F.col("_e")) & (F.col(bucket) == F.col("_b")), "left").join(own, F.col(entity) == F.col("_o"), "left")
+    return joined.withColumn("baseline", F.coalesce("_cell", "_own", F.array(*[F.lit(v / sum(league)) for v in league]))).drop("_e", "_b", "_cell", "_o", "_own")
+
+
+def repertoire(df: DataFrame, entity: str, kind: str, least: int = 5) -> DataFrame:
+    """(entity, kinds): the kinds that an entity has shown at least so often, sorted."""
+    shown = df.filter(F.col(kind).isNotNull()).groupBy(entity, kind).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return shown.groupBy(entity).agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
+
+
+def plus_scale(df: DataFrame, value: str, group: list[str], least: int = 100, groups: int = 30) -> tuple[float, float]:
+    """Mean and sample deviation (1 where it is 0) of the means of groups of at least ``least`` rows: one row reaches the
+    driver. Raises under so many groups."""
+    means = group_means(df, value, group, least)
+    r = means.agg(F.count("*").alias("n"), F.avg("mean").alias("m"), F.stddev_samp("mean").alias("s")).collect()[0]
+    if r.n < groups:
+        raise ValueError(f"only {r.n} groups have {least} rows; {groups} are needed for a scale")
+    return r.m, r.s if r.s and r.s > 0 else 1.0
+
+
+def group_means(df: DataFrame, value: str, group: list[str], least: int) -> DataFrame:
+    return df.groupBy(*group).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def plus(value: Column, mean: float, sd: float) -> Column:
+    return F.lit(100.0) + (value - mean) / sd * 10.0
 
 
 def mixture(x: np.ndarray, means: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, tuple]:
@@ -177,60 +157,77 @@ def split_once(x: np.ndarray, days: np.ndarray, gain: float = 10.0, share: float
     return None if max(auc, 1 - auc) > drift else second
 
 
+CLUSTERS = "cluster_id int, label string, n long, usage_pct double, velo_avg double, ivb_in double, hb_arm_in double, release_extension_avg double, spin_axis_arm_deg double, savant_majority string, purity double, n_savant_labels int, cluster_k int, savant_pitch_types int, arsenal_size_diff int, season_purity double"
+#: Usage from which a label counts as one of the entity's.
+LABEL_SHARE = 0.05
+
+
+def merged_groups(x: np.ndarray, names: np.ndarray) -> list[np.ndarray]:
+    """Row numbers by group: labels whose shapes aren't two are one, pairs of under 60 rows always."""
+    order = sorted(set(names))
+    root = {n: n for n in order}
+
+    def find(n):
+        return n if root[n] == n else find(root[n])
+
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            both = x[(names == a) | (names == b)]
+            means = np.stack([x[names == a].mean(axis=0), x[names == b].mean(axis=0)])
+            if not two_shapes(both, means):  # so too where they are too few to be told apart
+                root[find(b)] = find(a)
+    of = np.array([find(n) for n in names])
+    return [np.flatnonzero(of == r) for r in sorted(set(of))]
+
+
+def cluster_rows(frame: pd.DataFrame, columns: list[str], label: str) -> list[list]:
+    """A row a cluster of one entity-season, as in CLUSTERS. frame has columns, label, _day and the five shown."""
+    raw = frame[columns].to_numpy(dtype=float)
+    x = (raw - raw.mean(axis=0)) / np.where(raw.std(axis=0) == 0, 1, raw.std(axis=0))
+    names, days = frame[label].to_numpy(), frame["_day"].to_numpy()
+    clusters = []
+    for own in merged_groups(x, names):
+        second = split_once(x[own], days[own])
+        clusters += [own] if second is None else [own[~second], own[second]]
+    clusters.sort(key=len, reverse=True)
+    counts = [pd.Series(names[own]).value_counts().sort_index().sort_values(ascending=False, kind="stable") for own in clusters]
+    shown, velo = [c.index[0] for c in counts], [raw[own, 0].mean() for own in clusters]
+    for name in set(shown):
+        same = sorted((i for i, c in enumerate(counts) if c.index[0] == name), key=lambda i: -velo[i])
+        for place, i in enumerate(same[1:], 2):
+            shown[i] = f"{name}-{place}"
+    n = len(frame)
+    labels = int((pd.Series(names).value_counts() >= LABEL_SHARE * n).sum())
+    purity = sum(int(c.iloc[0]) for c in counts) / n
+    out = []
+    for i, (own, c) in enumerate(zip(clusters, counts, strict=True)):
+        part = frame.iloc[own]
+        mean = lambda name, part=part: None if part[name].isna().all() else float(part[name].mean())
+        sin, cos = mean("spin_axis_sin"), mean("spin_axis_cos")
+        turn = None if sin is None or cos is None else float(np.degrees(np.arctan2(sin, cos)) % 360)
+        out.append([i, shown[i], len(own), 100.0 * len(own) / n, mean("release_speed"), mean("ivb_in"), mean("hb_arm_in"), mean("release_extension"), turn, str(c.index[0]), float(c.iloc[0] / len(own)), len(c), len(clusters), labels, len(clusters) - labels, purity])
+    return out
+
+
 def shape_clusters(df: DataFrame, keys: list[str], label: str, columns: list[str], min_rows: int = 200, date: str | None = None) -> DataFrame:
-    """(keys, cluster_id, cluster_label, n, usage_pct, purity, labels): labels whose shapes aren't two are merged, pairs of
-    under 60 rows always; then each group of two shapes is split once, if date doesn't tell them apart (without one, no
-    split is ruled out by it). Clusters of one label get the suffixes -2, -3, by falling mean of the first column.
+    """(keys, then CLUSTERS): labels whose shapes aren't two are merged; then each group of two shapes is split once, if date
+    doesn't tell them apart (without one, no split is ruled out by it). Clusters of one label get the suffixes -2, -3, by
+    falling mean of the first column. spin_axis_arm_deg is a circular mean.
 
-    One group is one entity-season of thousands of rows at most; the fits inside take MOST points.
+    One group is one entity-season of thousands of rows at most; the fits inside take 500 points.
     """
     types = dict(df.dtypes)
-    head = ", ".join(f"{k} {types[k]}" for k in keys)
-    schema = f"{head}, cluster_id int, cluster_label string, n long, usage_pct double, purity double, labels string"
+    shown = ["release_speed", "ivb_in", "hb_arm_in", "release_extension", "spin_axis_sin", "spin_axis_cos"]
+    schema = f"{', '.join(f'`{k}` {types[k]}' for k in keys)}, {CLUSTERS}"
+    names = [*keys, *(c.split()[0] for c in CLUSTERS.split(", "))]
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.dropna(subset=[*columns, label])
         if len(frame) < min_rows:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        raw = frame[columns].to_numpy(dtype=float)
-        x = (raw - raw.mean(axis=0)) / np.where(raw.std(axis=0) == 0, 1, raw.std(axis=0))
-        names = frame[label].to_numpy()
-        days = frame["_day"].to_numpy()
-        root = {n: n for n in sorted(set(names))}
-
-        def find(n):
-            return n if root[n] == n else find(root[n])
-
-        order = sorted(root)
-        for i, a in enumerate(order):
-            for b in order[i + 1 :]:
-                both = x[(names == a) | (names == b)]
-                means = np.stack([x[names == a].mean(axis=0), x[names == b].mean(axis=0)])
-                if not two_shapes(both, means):  # so too where they are too few to be told apart
-                    root[find(b)] = find(a)
-        of = np.array([find(n) for n in names])
-        clusters = []
-        for r in sorted(set(of)):
-            own = np.flatnonzero(of == r)
-            second = split_once(x[own], days[own])
-            clusters += [own] if second is None else [own[~second], own[second]]
-        clusters.sort(key=len, reverse=True)
-        counts = [pd.Series(names[own]).value_counts().sort_index().sort_values(ascending=False, kind="stable") for own in clusters]
-        shown = [c.index[0] for c in counts]
-        for name in set(shown):
-            same = sorted((i for i, c in enumerate(counts) if c.index[0] == name), key=lambda i: -raw[clusters[i], 0].mean())
-            for place, i in enumerate(same[1:], 2):
-                shown[i] = f"{name}-{place}"
-        rows = [
-            [*frame[keys].iloc[0].tolist(), i, shown[i], len(own), 100.0 * len(own) / len(frame), float(c.iloc[0] / len(own)), ",".join(sorted(c.index))]
-            for i, (own, c) in enumerate(zip(clusters, counts, strict=True))
-        ]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            return pd.DataFrame(columns=names)
+        own = frame[keys].iloc[0].tolist()
+        return pd.DataFrame([[*own, *row] for row in cluster_rows(frame, columns, label)], columns=names)
 
     day = (F.unix_date(F.col(date).cast("date")) if date else F.lit(0)).cast("double").alias("_day")
-    return df.select(*keys, label, *columns, day).groupBy(*keys).applyInPandas(fit, schema)
-
-
-def primary_and_secondary(df: DataFrame, keys: list[str], usage: str, kind: str) -> DataFrame:
-    first = keep_first(df, keys, F.col(usage).desc(), F.col(kind))
-    return first.select(*keys, F.col(kind).alias("primary_kind"), F.col(usage).alias("primary_usage"))
+    taken = [F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in dict.fromkeys([*columns, *shown])]
+    return df.select(*keys, label, *taken, day).groupBy(*keys).applyInPandas(fit, schema)

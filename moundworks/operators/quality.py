@@ -54,34 +54,73 @@ def rate_beyond(df: DataFrame, hit, low: float, high: float) -> DataFrame:
     return df.agg(F.avg(F.coalesce(hit.cast("int"), F.lit(0)) * 100.0).alias("pct")).filter((F.col("pct") < low) | (F.col("pct") > high))
 
 
-def _tracked(t) -> DataFrame:
-    return t["fact_pitch"].filter("is_tracked_pitch")
+def tracked(df: DataFrame) -> DataFrame:
+    return df.filter("is_tracked_pitch")
 
 
-def _impossible_place(t) -> DataFrame:
+def saturated_days(df: DataFrame, most: int = S.SATURATED_ROWS - 1) -> DataFrame:
+    return groups_beyond(df, ["game_date"], None, most)
+
+
+def odd_games(df: DataFrame, low: int = 100, high: int = 800) -> DataFrame:
+    return groups_beyond(df.filter("game_type = 'R'"), ["game_pk"], low, high)
+
+
+def impossible_velocity(df: DataFrame, low: float = 25, high: float = 108) -> DataFrame:
+    return out_of_range(tracked(df), "release_speed", low, high)
+
+
+def impossible_place(df: DataFrame, limits: dict = S.LIMITS) -> DataFrame:
     bad = F.lit(False)
     for name in ("plate_x", "plate_z", "release_pos_x", "release_pos_z"):
-        low, high, open_low = S.LIMITS[name]
+        low, high, open_low = limits[name]
         bad = bad | F.coalesce((F.col(name) <= low if open_low else F.col(name) < low) | (F.col(name) > high), F.lit(False))
-    return _tracked(t).filter(bad)
+    return tracked(df).filter(bad)
+
+
+def quarantined(df: DataFrame, most: int = 100) -> DataFrame:
+    return groups_beyond(df.filter("not is_tracked_pitch and description not in ('automatic_ball', 'automatic_strike')"), ["season"], None, most)
+
+
+def slow_pitchers(df: DataFrame, players: DataFrame, least: float = 55) -> DataFrame:
+    true = players.filter("primary_position = 'P'").select(F.col("mlbam_id").alias("pitcher"))
+    return tracked(df).join(true, "pitcher").groupBy("pitcher").agg(F.min("release_speed").alias("slowest")).filter(F.col("slowest") < least)
+
+
+def odd_zones(df: DataFrame, top: float = 6.0) -> DataFrame:
+    return tracked(df).filter((F.col("sz_top") <= F.col("sz_bot")) | (F.col("sz_top") > top) | (F.col("sz_bot") < 0))
+
+
+def sinkers_that_cut(df: DataFrame, most: float = 0.0) -> DataFrame:
+    """Seasons and hands whose sinkers don't run to the arm side on average."""
+    return tracked(df).filter("pitch_type = 'SI'").groupBy("season", "p_throws").agg(F.avg("hb_arm_in").alias("hb")).filter(F.col("hb") <= most)
+
+
+def zone_rate(df: DataFrame, low: float = 35, high: float = 60) -> DataFrame:
+    return rate_beyond(tracked(df), F.col("is_in_zone"), low, high)
+
+
+def csw_rate(df: DataFrame, low: float = 22, high: float = 32) -> DataFrame:
+    return rate_beyond(tracked(df), F.col("is_csw"), low, high)
 
 
+FACT = "fact_pitch"
 CHECKS = [
-    Check("primary_key_unique", lambda t: duplicates(t["fact_pitch"], S.PITCH_KEY)),
-    Check("not_empty", lambda t: t["fact_pitch"].limit(1), expect_empty=False),
-    Check("no_saturated_day", lambda t: groups_beyond(t["fact_pitch"], ["game_date"], None, S.SATURATED_ROWS - 1)),
-    Check("plausible_game_size", lambda t: groups_beyond(t["fact_pitch"].filter("game_type = 'R'"), ["game_pk"], 100, 800), "warn"),
-    Check("velocity_possible", lambda t: out_of_range(_tracked(t), "release_speed", 25, 108)),
-    Check("location_possible", _impossible_place),
-    Check("quarantined_few", lambda t: groups_beyond(t["fact_pitch"].filter("not is_tracked_pitch and description not in ('automatic_ball', 'automatic_strike')"), ["season"], None, 100), "warn"),
-    Check("slow_true_pitchers", lambda t: _tracked(t).join(t["dim_player"].filter("primary_position = 'P'"), F.col("pitcher") == F.col("mlbam_id")).groupBy("pitcher").agg(F.min("release_speed").alias("slowest")).filter("slowest < 55"), "warn", needs=("fact_pitch", "dim_player")),
-    Check("zone_sane", lambda t: _tracked(t).filter("sz_top <= sz_bot or sz_top > 6 or sz_bot < 0")),
-    Check("sinker_arm_side", lambda t: _tracked(t).filter("pitch_type = 'SI'").groupBy("season", "p_throws").agg(F.avg("hb_arm_in").alias("hb")).filter("hb <= 0")),
-    Check("league_zone_rate", lambda t: rate_beyond(_tracked(t), F.col("is_in_zone"), 35, 60)),
-    Check("league_csw_rate", lambda t: rate_beyond(_tracked(t), F.col("is_csw"), 22, 32), "warn"),
-    Check("pitchers_mapped", lambda t: unmatched(t["fact_pitch"], t["dim_player_ids"], "pitcher", "mlbam_id"), needs=("fact_pitch", "dim_player_ids")),
-    Check("batters_mapped", lambda t: unmatched(t["fact_pitch"], t["dim_player_ids"], "batter", "mlbam_id"), needs=("fact_pitch", "dim_player_ids")),
-    Check("games_mapped", lambda t: unmatched(t["fact_pitch"], t["dim_game"], "game_pk", "game_pk"), "warn", needs=("fact_pitch", "dim_game")),
+    Check("primary_key_unique", lambda t: duplicates(t[FACT], S.PITCH_KEY)),
+    Check("not_empty", lambda t: t[FACT].limit(1), expect_empty=False),
+    Check("no_saturated_day", lambda t: saturated_days(t[FACT])),
+    Check("plausible_game_size", lambda t: odd_games(t[FACT]), "warn"),
+    Check("velocity_possible", lambda t: impossible_velocity(t[FACT])),
+    Check("location_possible", lambda t: impossible_place(t[FACT])),
+    Check("quarantined_few", lambda t: quarantined(t[FACT]), "warn"),
+    Check("slow_true_pitchers", lambda t: slow_pitchers(t[FACT], t["dim_player"]), "warn", needs=(FACT, "dim_player")),
+    Check("zone_sane", lambda t: odd_zones(t[FACT])),
+    Check("sinker_arm_side", lambda t: sinkers_that_cut(t[FACT])),
+    Check("league_zone_rate", lambda t: zone_rate(t[FACT])),
+    Check("league_csw_rate", lambda t: csw_rate(t[FACT]), "warn"),
+    Check("pitchers_mapped", lambda t: unmatched(t[FACT], t["dim_player_ids"], "pitcher", "mlbam_id"), needs=(FACT, "dim_player_ids")),
+    Check("batters_mapped", lambda t: unmatched(t[FACT], t["dim_player_ids"], "batter", "mlbam_id"), needs=(FACT, "dim_player_ids")),
+    Check("games_mapped", lambda t: unmatched(t[FACT], t["dim_game"], "game_pk", "game_pk"), "warn", needs=(FACT, "dim_game")),
 ]
 
 

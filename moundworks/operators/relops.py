@@ -99,3 +99,28 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = df.agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     wide = df.join(F.broadcast(stats))
     return wide.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}).select(*df.columns)
+
+
+def purity(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, n, label, labels, purity, whole_purity): each group's commonest label (ties by name), how many it has and the
+    share of the first; whole_purity is the shares' mean weighted by n."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("m"), F.col(label).alias("v"))).alias("b")
+    groups = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), best, F.count("*").alias("labels"))
+    groups = groups.select(*keys, "n", F.col("b.v").alias("label"), "labels", (-F.col("b.m") / F.col("n").cast("double")).alias("purity"))
+    whole = groups.agg((F.sum(F.col("purity") * F.col("n")) / F.sum("n")).alias("whole_purity"))
+    return groups.join(F.broadcast(whole))  # one row
+
+
+def ids(*frames: DataFrame, name: str) -> DataFrame:
+    """The different ids of one-column frames."""
+    return reduce(lambda a, b: a.union(b), [f.toDF(name) for f in frames]).distinct()
+
+
+def missing(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """The different ids of one that the other lacks."""
+    return df.toDF(name).subtract(other.toDF(name))
+
+
+def shared(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    return df.toDF(name).intersect(other.toDF(name))

@@ -66,11 +66,27 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) ->
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(moving, F.corr("_x", "_y")).alias("spearman"))
 
 
-def rank_auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve by averaged ranks; null with one class only."""
-    ranked = df.withColumn("_r", average_rank(score, keys)).withColumn("_p", F.col(positive).cast("double"))
-    p, n = F.sum("_p"), F.count(F.lit(1))
-    return ranked.groupBy(*keys).agg(n.alias("n"), F.try_divide(F.sum(F.col("_r") * F.col("_p")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))
+def rank_auc(df: DataFrame, keys: list[str], score: str, positive: str, ties: str = "average") -> DataFrame:
+    """(keys, n, auc): area under the ROC curve, null with one class only.
+
+    Rows are first counted by score, so that what is ranked are the distinct scores. With keys, a group's scores are ranked
+    in one window. Without keys there is one group only, whose scores would meet in one task: then they are dealt out by
+    ranges of the score, ranked within a range, and the ranges' totals (a row a range) are added up before them.
+    ties: "average" gives a tie of both classes a half; "low" counts it as lost, the reading that ignores ties.
+    """
+    half = {"average": 0.5, "low": 0.0}[ties]
+    p = F.col(positive).cast("boolean")
+    cells = df.filter(F.col(score).isNotNull() & p.isNotNull()).groupBy(*keys, score).agg(F.count_if(p).alias("_p"), F.count_if(~p).alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if keys:
+        won = cells.withColumn("_b", before(over(keys, score)))
+    else:
+        ranged = cells.repartitionByRange(score).withColumn("_r", F.spark_partition_id())
+        totals = ranged.groupBy("_r").agg(F.sum("_n").alias("_t")).withColumn("_o", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        own = ranged.withColumn("_b", before(over(["_r"], score)))
+        won = own.join(totals.select("_r", "_o"), "_r").withColumn("_b", F.col("_b") + F.col("_o"))
+    n, m = F.sum("_p").cast("double"), F.sum("_n").cast("double")
+    return won.groupBy(*keys).agg((F.sum("_p") + F.sum("_n")).alias("n"), F.try_divide(F.sum(F.col("_p") * (F.col("_b") + half * F.col("_n"))), n * m).alias("auc"))
 
 
 def suffixed(label: str, keys: list[str], *order) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import geometry, grid, learning, metrics, quality, relops, windows
+from ..operators import encodings, geometry, grid, learning, metrics, neighbors, quality, relops, run_value, windows
 from ..streaming import events as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,7 +109,7 @@ def _run_values(spark, sf):
     e = events(spark, sf).withColumn("day", F.to_date("ts"))
     w = windows.over(["user_id", "day"], "ts", "event_id")
     b, s = (windows.prior_sum((F.col("event_type") == t).cast("int"), w) for t in ("error", "click"))
-    return learning.run_values(e.withColumn("cnt", E.count_key(b, s)), ["user_id", "day"], ["ts", "event_id"], "cnt", "value", "event_type")
+    return run_value.run_values(e.withColumn("cnt", E.count_key(b, s)), ["user_id", "day"], ["ts", "event_id"], "cnt", "value", "event_type")
 
 
 @query(RUN_VALUE + " SELECT * FROM r")
@@ -131,11 +131,15 @@ def rollup_all(spark, sf):
     return rows.withColumn("usage_pct", windows.share_of_row("n", F.col("kind") == "ALL", ["l_suppkey", "season"]))
 
 
-@query("SELECT h, min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM (SELECT sha256(text) AS h, doc_id FROM documents) GROUP BY h")
+@query("SELECT sha256(text) AS h, min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 1")
 def dedupe_first(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    counts = rows.groupBy("h").agg(F.count("*").alias("copies"))
-    return relops.keep_first(rows, ["h"], "doc_id").join(counts, "h")
+    rows = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h"))
+    return rows.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT l_orderkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_suppkey, l_partkey) AS rn FROM lineitem) WHERE rn = 1")
+def keep_first_row(spark, sf):
+    return relops.keep_first(table(spark, sf, "lineitem"), ["l_orderkey"], F.desc("l_quantity"), F.desc("l_extendedprice"), "l_suppkey", "l_partkey").select("l_orderkey", "l_suppkey", "l_quantity")
 
 
 @query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END) + (CASE WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END) DESC, c_custkey) AS rn FROM customer) WHERE rn = 1")
@@ -150,14 +154,14 @@ def null_group_exclusion(spark, sf):
     return relops.qualified(rows, ["k"], 100).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf):
-    return relops.unmatched(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey")
+    return relops.unmatched(table(spark, sf, "customer"), table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey")
 
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)")
 def ref_integrity(spark, sf):
-    return relops.unmatched(table(spark, sf, "lineitem"), table(spark, sf, "orders"), "l_orderkey", "o_orderkey")
+    return relops.unmatched(table(spark, sf, "lineitem"), table(spark, sf, "part").filter("p_size <= 40"), "l_partkey", "p_partkey")
 
 
 YOY = "WITH y AS (SELECT l_suppkey, year(l_shipdate) AS season, avg(l_quantity) AS qty FROM lineitem GROUP BY 1, 2), p AS (SELECT a.l_suppkey, a.season, a.qty, b.qty AS qty_prev FROM y a JOIN y b ON a.l_suppkey = b.l_suppkey AND a.season = b.season + 1)"
@@ -190,7 +194,13 @@ def _scored(spark, sf):
 @query(SCORED + """, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM s)
   SELECT count(*) AS n, round((sum(CASE WHEN y THEN r END) - count_if(y) * (count_if(y) + 1) / 2.0) / (count_if(y) * (count(*) - count_if(y))), 9) AS auc FROM r""")
 def rank_auc(spark, sf):
-    return windows.rank_auc(_scored(spark, sf).withColumn("g", F.lit(1)), ["g"], "p", "y").select("n", F.round("auc", 9).alias("auc"))
+    return windows.rank_auc(_scored(spark, sf), [], "p", "y").select("n", F.round("auc", 9).alias("auc"))
+
+
+@query(SCORED.replace("n_chars / (n_chars + CAST(2000 AS DOUBLE))", "floor(n_chars / CAST(500 AS DOUBLE))") + " SELECT (SELECT count(*) FROM s) AS n, round(sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE ELSE 0 END) / count(*), 9) AS auc FROM s a JOIN s b ON a.y AND NOT b.y")
+def rank_auc_without_ties(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select(F.floor(F.col("n_chars") / 500).alias("p"), (F.col("quality") == 1).alias("y"))
+    return windows.rank_auc(rows, [], "p", "y", "low").select("n", F.round("auc", 9).alias("auc"))
 
 
 @query(SCORED + " SELECT CAST(ceil(p * 10) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, avg(CASE WHEN y THEN 1.0::DOUBLE ELSE 0 END) AS mean_y FROM s WHERE p > 0 GROUP BY 1")
@@ -210,19 +220,40 @@ def _values(n, sigma):
     return ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, j, w in grid.folded_kernel(n, sigma))
 
 
-@query(f"""WITH kx(i, ci, w) AS (VALUES {_values(12, 1.5)}), ky(j, cj, w) AS (VALUES {_values(8, 1.0)}),
+GRID = f"""WITH kx(i, ci, w) AS (VALUES {_values(12, 1.5)}), ky(j, cj, w) AS (VALUES {_values(8, 1.0)}),
   h AS (SELECT l_returnflag, CAST(least(11, floor(l_quantity / (50.0::DOUBLE / 12))) AS INTEGER) AS ci, CAST(least(7, floor(l_discount / (0.1::DOUBLE / 8))) AS INTEGER) AS cj, sum(l_extendedprice) AS v, count(*) AS c FROM lineitem GROUP BY 1, 2, 3),
-  a AS (SELECT l_returnflag, kx.i, cj, sum(w * v) AS v, sum(w * c) AS c FROM h JOIN kx USING (ci) GROUP BY 1, 2, 3)
-  SELECT l_returnflag, a.i, ky.j, round(sum(w * v) / sum(w * c), 4) AS surface, round(sum(w * c) * 2 * pi() * 1.5, 4) AS reliability FROM a JOIN ky USING (cj) GROUP BY 1, 2, 3""")
+  a AS (SELECT l_returnflag, kx.i, cj, sum(w * v) AS v, sum(w * c) AS c FROM h JOIN kx USING (ci) GROUP BY 1, 2, 3),
+  g AS (SELECT l_returnflag, a.i, ky.j, sum(w * v) / sum(w * c) AS surface, sum(w * c) * 2 * pi() * 1.5 AS reliability FROM a JOIN ky USING (cj) GROUP BY 1, 2, 3)"""
+
+
+def _grid(spark, sf):
+    return grid.smooth_arrays(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount", "l_extendedprice", SMALL)
+
+
+@query(GRID + " SELECT l_returnflag, i, j, round(surface, 4) AS surface, round(reliability, 4) AS reliability FROM g")
 def zone_grid(spark, sf):
-    cells = grid.smooth_grid(spark, table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount", "l_extendedprice", SMALL)
+    cells = grid.grid_cells(_grid(spark, sf), ["l_returnflag"])
     return cells.select("l_returnflag", "i", "j", F.round("surface", 4).alias("surface"), F.round("reliability", 4).alias("reliability"))
 
 
-@query()
+@query("SELECT l_returnflag, CAST(least(11, floor(l_quantity / (50.0::DOUBLE / 12))) AS INTEGER) AS i, CAST(least(7, floor(l_discount / (0.1::DOUBLE / 8))) AS INTEGER) AS j, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def grid_cells(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag", grid.cell("l_quantity", *SMALL["x"]).alias("i"), grid.cell("l_discount", *SMALL["y"]).alias("j")).agg(F.count("*").alias("n"))
+
+
+#: Edges by number, as in grid.CROSSED; the SQL names each case's segments by itself.
+_POINTS = {0: "i + (53000 - s0) / (s1 - s0), j", 1: "i + 1, j + (53000 - s1) / (s2 - s1)", 2: "i + (53000 - s3) / (s2 - s3), j + 1", 3: "i, j + (53000 - s0) / (s3 - s0)"}
+_LINES = {"(1, 14, 5, 10)": (3, 0), "(2, 13)": (0, 1), "(3, 12)": (3, 1), "(4, 11, 5, 10)": (1, 2), "(6, 9)": (0, 2), "(7, 8)": (2, 3)}
+CONTOUR = GRID + """, q AS (SELECT l_returnflag, a.i, a.j, a.surface AS s0, b.surface AS s1, c.surface AS s2, d.surface AS s3 FROM g a JOIN g b USING (l_returnflag) JOIN g c USING (l_returnflag) JOIN g d USING (l_returnflag)
+  WHERE b.i = a.i + 1 AND b.j = a.j AND c.i = a.i + 1 AND c.j = a.j + 1 AND d.i = a.i AND d.j = a.j + 1),
+  k AS (SELECT *, CASE WHEN s0 >= 53000 THEN 1 ELSE 0 END + CASE WHEN s1 >= 53000 THEN 2 ELSE 0 END + CASE WHEN s2 >= 53000 THEN 4 ELSE 0 END + CASE WHEN s3 >= 53000 THEN 8 ELSE 0 END AS code FROM q),
+  z(l_returnflag, i, j, x1, y1, x2, y2) AS (""" + " UNION ALL ".join(f"SELECT l_returnflag, i, j, {_POINTS[p]}, {_POINTS[q]} FROM k WHERE code IN {codes}" for codes, (p, q) in _LINES.items()) + ") SELECT l_returnflag, i, j, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM z"
+
+
+@query(CONTOUR)
 def contour_segments(spark, sf):
-    cells = grid.smooth_grid(spark, table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount", "l_extendedprice", SMALL)
-    return grid.contours(cells, ["l_returnflag"], 53_000.0)
+    lines = grid.contours(_grid(spark, sf), ["l_returnflag"], 53_000.0)
+    return lines.withColumns({c: F.round(c, 6) for c in ("x1", "y1", "x2", "y2")})
 
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem), c AS (SELECT CAST(least(19, floor((l_extendedprice - a) / ((b - a) / 20))) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)
@@ -235,7 +266,7 @@ def histogram_equal_width(spark, sf):
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor) AS rank FROM d) SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor, round(d, 6) AS distance FROM r WHERE rank <= 10""")
 def knn_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return learning.nearest(spark, e, "vec_id", "embedding", 10, e.filter("vec_id % 50 = 0")).withColumn("distance", F.round("distance", 6))
+    return neighbors.nearest(spark, e, "vec_id", "embedding", 10, e.filter("vec_id % 50 = 0")).withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH c AS (SELECT user_id, hour(ts) // 6 AS b, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3), s AS (SELECT user_id, b, sum(n) AS t FROM c GROUP BY 1, 2),
@@ -246,10 +277,56 @@ def usage_baseline(spark, sf):
     return learning.usage_baseline(events(spark, sf).withColumn("b", F.floor(F.hour("ts") / 6)), "user_id", "b", "event_type")
 
 
-@query()
+_SLOTS = ", ".join(f"coalesce(max(CASE WHEN slot = {k} THEN n END), 0)::DOUBLE, coalesce(max(CASE WHEN slot = {k} THEN qty END), (SELECT avg(qty) FROM a)), coalesce(max(CASE WHEN slot = {k} THEN disc END), (SELECT avg(disc) FROM a))" for k in range(1, 7))
+
+
+@query(f"""WITH a AS (SELECT l_suppkey, year(l_shipdate) AS season, l_linenumber AS kind, count(*) AS n, avg(l_quantity) AS qty, avg(l_discount) AS disc FROM lineitem GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, season ORDER BY n DESC, kind) AS slot FROM a), v AS (SELECT l_suppkey, season, [{_SLOTS}] AS vec FROM r GROUP BY 1, 2),
+  e AS (SELECT l_suppkey, season, CAST(p - 1 AS INTEGER) AS i, vec[p] AS x FROM v, range(1, 19) q(p)), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY 1)
+  SELECT l_suppkey, season, i, round((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS z FROM e JOIN m USING (i)""")
 def slot_encoding(spark, sf):
     kinds = lines(spark, sf).groupBy("l_suppkey", "season", F.col("l_linenumber").alias("kind")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
-    return learning.slot_encoding(kinds, ["l_suppkey", "season"], "n", ["qty", "disc"])
+    vectors = encodings.standardised_vectors(encodings.slot_encoding(kinds, ["l_suppkey", "season"], "n", ["qty", "disc"]))
+    return vectors.select("l_suppkey", "season", F.posexplode("vector").alias("i", "z")).withColumn("z", F.round("z", 6))
+
+
+@query("""WITH a AS (SELECT l_suppkey, year(l_shipdate) AS season, l_linenumber AS kind, count(*)::DOUBLE AS n, avg(l_quantity) AS qty, avg(l_extendedprice) - 38000 AS dx, avg(l_quantity) - 25 AS dy FROM lineitem GROUP BY 1, 2, 3),
+  c AS (SELECT quantile_cont(qty, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS q FROM a),
+  h AS (SELECT l_suppkey, season, len(list_filter(q, lambda x: qty >= x)) * 8 + least(7, floor((degrees(atan2(dy, dx)) + 180) / 45)) AS cell, sum(n) AS u FROM a, c GROUP BY 1, 2, 3)
+  SELECT l_suppkey, season, CAST(cell AS INTEGER) AS i, u FROM h""")
+def histogram_encoding(spark, sf):
+    kinds = lines(spark, sf).groupBy("l_suppkey", "season", F.col("l_linenumber").alias("kind")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("qty"), (F.avg("l_extendedprice") - 38000).alias("dx"))
+    vectors = encodings.histogram_encoding(kinds, ["l_suppkey", "season"], "n", "qty", F.degrees(F.atan2(F.col("qty") - 25, "dx")))
+    return vectors.select("l_suppkey", "season", F.posexplode("vector").alias("i", "u")).filter("u > 0")
+
+
+@query("SELECT l_suppkey, season, kind AS primary_label, qty AS primary_velo, nxt AS secondary_label FROM (SELECT *, lead(kind) OVER w AS nxt, row_number() OVER w AS rn FROM (SELECT l_suppkey, year(l_shipdate) AS season, l_returnflag AS kind, count(*) AS n, avg(l_quantity) AS qty FROM lineitem GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY l_suppkey, season ORDER BY n DESC, kind)) WHERE rn = 1")
+def primary_kind(spark, sf):
+    kinds = lines(spark, sf).groupBy("l_suppkey", "season", F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("qty"))
+    return encodings.primary_and_secondary(kinds, ["l_suppkey", "season"], "n", "kind", "qty", "kind")
+
+
+@query("SELECT event_id, lead(event_type) OVER w AS next_type, lead(ts) OVER w IS NULL AS is_last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def next_state(spark, sf):
+    w = windows.over(["user_id"], "ts", "event_id")
+    return events(spark, sf).select("event_id", F.lead("event_type").over(w).alias("next_type"), F.lead(F.lit(1)).over(w).isNull().alias("is_last"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, count(*) AS n, avg(l_quantity) AS q, avg(l_extendedprice) / 1000 AS p FROM lineitem GROUP BY 1)
+  SELECT a.l_suppkey AS l_suppkey_a, b.l_suppkey AS l_suppkey_b, round(sqrt((a.q - b.q) ** 2 + (a.p - b.p) ** 2), 6) AS d FROM s a JOIN s b ON a.l_suppkey < b.l_suppkey""")
+def label_pairs(spark, sf):
+    s = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), (F.avg("l_extendedprice") / 1000).alias("p"))
+    both = neighbors.pairs(s, "l_suppkey", ["q", "p"])
+    return both.select("l_suppkey_a", "l_suppkey_b", F.round(F.hypot(F.col("q_a") - F.col("q_b"), F.col("p_a") - F.col("p_b")), 6).alias("d"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, year(l_shipdate) AS season, avg(l_quantity) AS x, avg(l_discount) * 500 AS y FROM lineitem GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM s),
+  p AS (SELECT a.l_suppkey, a.season, a.x, a.y, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND b.season = a.season + 1),
+  r AS (SELECT p.l_suppkey, p.season, count_if(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) < d AND (c.l_suppkey <> p.l_suppkey OR c.season <> p.season)) AS k FROM p CROSS JOIN s c GROUP BY 1, 2)
+  SELECT round(median(k / (n - 2.0::DOUBLE)), 9) AS rank, count(*) AS pairs FROM r, n""")
+def next_season_rank(spark, sf):
+    s = lines(spark, sf).groupBy("l_suppkey", "season").agg(F.avg("l_quantity").alias("x"), (F.avg("l_discount") * 500).alias("y"))
+    return neighbors.next_season_rank(s, "l_suppkey", "season", "x", "y").withColumn("rank", F.round("rank", 9))
 
 
 @query("SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -392,22 +469,92 @@ def standardise(spark, sf):
 
 @query()
 def kmeans_silhouette(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    v = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    out = []
-    for k in range(4, 13):
-        model = KMeans(k=k, seed=0, maxIter=20).fit(v)
-        out.append((k, float(ClusteringEvaluator().evaluate(model.transform(v)))))
-    return spark.createDataFrame(out, "k int, silhouette double")
+    _, scores = encodings.archetypes(table(spark, sf, "embeddings"), ["vec_id"], "embedding")
+    return spark.createDataFrame(scores, "k int, silhouette double")
 
 
 @query()
 def pca(spark, sf):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    return encodings.pca_map(table(spark, sf, "embeddings"), ["vec_id"], "embedding")
+
+
+_WALL = "(2 * p1 + (p2 - p0) * f + (2 * p0 - 5 * p1 + 4 * p2 - p3) * f * f + (3 * p1 - p0 - 3 * p2 + p3) * f * f * f) * 0.5::DOUBLE"
+_MARKED = ", ".join(f"('{n}', [{', '.join(f'{d}.0::DOUBLE' for d in at)}])" for n, at in geometry.PARKS.items())
+
+
+@query(f"""WITH p(park, d) AS (VALUES {_MARKED}), k AS (SELECT park, d, CAST(q AS INTEGER) AS k, least(3, q // 10) AS i, (q - 10 * least(3, q // 10)) / 10.0::DOUBLE AS f FROM p, range(41) r(q)),
+  m AS (SELECT park, k, f, d[greatest(i, 1)] AS p0, d[i + 1] AS p1, d[i + 2] AS p2, d[least(i + 3, 5)] AS p3, -45 + 22.5::DOUBLE * greatest(i - 1, 0) AS a0, -45 + 22.5::DOUBLE * i AS a1, -45 + 22.5::DOUBLE * (i + 1) AS a2, -45 + 22.5::DOUBLE * least(i + 2, 4) AS a3 FROM k)
+  SELECT park, k, round(sin(radians({_WALL.replace("p0", "a0").replace("p1", "a1").replace("p2", "a2").replace("p3", "a3")})) * {_WALL}, 6) AS x, round(cos(radians({_WALL.replace("p0", "a0").replace("p1", "a1").replace("p2", "a2").replace("p3", "a3")})) * {_WALL}, 6) AS y FROM m""")
+def park_walls(spark, sf):
+    return geometry.park_wall(geometry.parks(spark), "park").withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query("SELECT l_suppkey, round(d, 9) AS distance, x, y FROM (SELECT l_suppkey, sqrt((l_quantity - 25) ** 2 + ((l_extendedprice - 30000) / 1000) ** 2) AS d, l_quantity AS x, (l_extendedprice - 30000) / 1000 AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY sqrt((l_quantity - 25) ** 2 + ((l_extendedprice - 30000) / 1000) ** 2), l_quantity, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1 AND d <= 2")
+def nearest_point(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("price", (F.col("l_extendedprice") - 30000) / 1000)
+    return geometry.nearest_point(rows, ["l_suppkey"], "l_quantity", "price", F.lit(25.0), F.lit(0.0), 2.0).withColumn("distance", F.round("distance", 9))
+
+
+@query("SELECT (min(l_quantity) + max(l_quantity)) / 2 AS centre_x, (min(l_extendedprice) + max(l_extendedprice)) / 2 AS centre_y, round(least(800 * 0.9::DOUBLE / (max(l_quantity) - min(l_quantity)), 600 * 0.9::DOUBLE / (max(l_extendedprice) - min(l_extendedprice))), 12) AS scale FROM lineitem")
+def viewport(spark, sf):
+    return geometry.fitted_view(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 800.0, 600.0).withColumn("scale", F.round("scale", 12))
+
+
+@query("SELECT l_suppkey, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (SELECT l_suppkey, l_returnflag || l_linenumber AS kind FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1")
+def repertoire(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("kind", F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
+    return learning.repertoire(rows, "l_suppkey", "kind", 5).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query("SELECT count(*) AS n, avg(m) AS mean, stddev_samp(m) AS sd FROM (SELECT avg(l_extendedprice) AS m FROM lineitem GROUP BY l_suppkey, year(l_shipdate), l_returnflag HAVING count(*) >= 3)")
+def two_level_calibration(spark, sf):
+    means = learning.group_means(lines(spark, sf), "l_extendedprice", ["l_suppkey", "season", "l_returnflag"], 3)
+    return means.agg(F.count("*").alias("n"), F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE + 1 AS n FROM events GROUP BY 1, 2), k AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id FROM events), f AS (SELECT user_id, event_type, coalesce(n, 1) AS n FROM u CROSS JOIN k LEFT JOIN c USING (user_id, event_type)),
+  p AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id) AS p FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_type) AS rn FROM p WHERE p >= 0.1)
+  SELECT user_id, string_agg(event_type || ':' || printf('%.4f', round(p, 4)), ',' ORDER BY rn) AS top FROM r WHERE rn <= 3 GROUP BY 1""")
+def top_probabilities(spark, sf):
+    classes = ["click", "error", "purchase", "signup", "view"]
+    n = events(spark, sf).groupBy("user_id").agg(F.array(*[F.count_if(F.col("event_type") == c) + F.lit(1.0) for c in classes]).alias("n"))
+    p = n.select("user_id", F.transform("n", lambda v: v / F.aggregate("n", F.lit(0.0), lambda s, x: s + x)).alias("p"))
+    top = E.top_probabilities(F.col("p"), classes, 0.1, 3)
+    return p.select("user_id", F.array_join(F.transform(top, lambda t: F.concat(t["class"], F.lit(":"), F.format_string("%.4f", t["probability"]))), ",").alias("top"))
+
+
+@query("SELECT user_id, event_type, mode FROM (SELECT user_id, event_type, event_type AS mode, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rn FROM events GROUP BY 1, 2) WHERE rn = 1")
+def most_common(spark, sf):
+    return encodings.most_common(events(spark, sf), "user_id", "event_type").withColumn("mode", F.col("event_type"))
+
+
+@query("""WITH t AS (SELECT l_suppkey, l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT l_suppkey, sum(n) AS total, max(n) AS top, min(CASE WHEN n = x THEN kind END) AS label, count(*) AS labels FROM (SELECT *, max(n) OVER (PARTITION BY l_suppkey) AS x FROM t) GROUP BY 1)
+  SELECT l_suppkey, CAST(total AS BIGINT) AS n, label, labels, top / total::DOUBLE AS purity, (SELECT sum(top) / sum(total)::DOUBLE FROM m) AS whole_purity FROM m""")
+def group_purity(spark, sf):
+    return relops.purity(table(spark, sf, "lineitem"), ["l_suppkey"], "l_returnflag")
+
+
+@query("SELECT c_custkey AS id FROM customer UNION SELECT s_suppkey FROM supplier")
+def id_union(spark, sf):
+    return relops.ids(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "supplier").select("s_suppkey"), name="id")
+
+
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def id_difference(spark, sf):
+    return relops.missing(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_custkey"), name="id")
+
+
+@query("SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def id_intersection(spark, sf):
+    return relops.shared(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_custkey"), name="id")
+
+
+@query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
+def json_field(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
 
-    v = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return PCA(k=2, inputCol="features", outputCol="xy").fit(v).transform(v).select("vec_id", vector_to_array("xy").alias("xy"))
+@query("SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM events WHERE regexp_matches(props, '\\{\"k\": [0-9]+\\}') GROUP BY 1")
+def regex_filter(spark, sf):
+    rows = table(spark, sf, "events").filter(F.col("props").rlike(r'^\{"k": [0-9]+\}$'))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("int")).alias("big"))

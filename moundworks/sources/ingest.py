@@ -8,6 +8,9 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, date, datetime, timedelta
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..schema import SATURATED_ROWS
 
 RETRIED = {408, 425, 429, 500, 502, 503, 504}
@@ -30,21 +33,42 @@ class TokenBucket:
 
 
 def wait_before_retry(attempt: int, retry_after: str | None = None, rng: Callable[[], float] = random.random) -> float:
-    if retry_after and retry_after.isdigit():
-        return float(retry_after)
-    return min(60.0, 2.0**attempt) + rng()
+    """Seconds, whole or not, that the server asks for; else doubling with a little chance."""
+    try:
+        asked = float(retry_after) if retry_after else -1.0
+    except ValueError:  # a date: take the usual wait
+        asked = -1.0
+    return asked if asked >= 0 else min(60.0, 2.0**attempt) + rng()
 
 
 def fetch(get: Callable[[str], tuple[int, dict, bytes]], url: str, bucket: TokenBucket, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """The body. Refusals of RETRIED and broken connections are tried again."""
+    said = ""
     for attempt in range(tries):
         bucket.take()
-        status, headers, body = get(url)
-        if status == 200:
-            return body
-        if status not in RETRIED or attempt == tries - 1:
-            break
-        sleep(wait_before_retry(attempt, headers.get("Retry-After")))
-    raise OSError(f"{url}: status {status}")
+        wait = None
+        try:
+            status, headers, body = get(url)
+        except (OSError, TimeoutError) as e:
+            said = str(e)
+        else:
+            if status == 200:
+                return body
+            said, wait = f"status {status}", headers.get("Retry-After")
+            if status not in RETRIED:
+                break
+        if attempt < tries - 1:
+            sleep(wait_before_retry(attempt, wait))
+    raise OSError(f"{url}: {said}")
+
+
+def pitch_parameters(start: date, end: date, team: str | None = None) -> dict[str, str]:
+    """What a request for the pitches of some days asks for. The service's own names."""
+    asked = {
+        "all": "true", "type": "details", "game_date_gt": start.isoformat(), "game_date_lt": end.isoformat(), "hfSea": f"{start.year}|",
+        "min_pitches": "0", "min_results": "0", "group_by": "name", "sort_col": "pitches", "player_event_sort": "api_p_release_speed", "sort_order": "desc",
+    }
+    return asked | ({"hfTeam": f"{team}|"} if team else {})
 
 
 def fetch_day(get_rows: Callable[[date, str | None], list[dict]], day: date, teams: Iterable[str], key: Callable[[dict], tuple]) -> list[dict]:
@@ -72,6 +96,7 @@ class Manifest:
 
     def __init__(self, path: str = ":memory:"):
         self.db = sqlite3.connect(path)
+        self.db.execute("pragma journal_mode = wal")
         self.db.execute("create table if not exists runs (source text, part text, status text, n integer, sha256 text, error text, fetched_at text, primary key (source, part))")
 
     def done(self, source: str, part: str) -> bool:
@@ -94,6 +119,21 @@ class Manifest:
     def failures(self) -> list[tuple]:
         return self.db.execute("select source, part, error from runs where status = 'failed' order by 1, 2").fetchall()
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """All runs as a table."""
+        return spark.createDataFrame(self.rows(), RUNS)
+
+
+RUNS = "source string, part string, status string, n long, sha256 string, error string, fetched_at string"
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("source", "status").agg(F.count("*").alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def run_failures(runs: DataFrame) -> DataFrame:
+    return runs.filter("status = 'failed'").select("source", "part", "error")
+
 
 def ingest(days: Iterable[date], load: Callable[[date], int], manifest: Manifest, source: str = "pitches") -> dict[str, int]:
     """Loads days that aren't done; a failure is recorded and the loop goes on."""
