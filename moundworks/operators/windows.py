@@ -62,8 +62,8 @@ def average_rank(c: str, keys: list[str]) -> Column:
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Rank correlation by group over rows with both values; null under min_n rows or without variance."""
     ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, average_rank(x, keys).alias("_x"), average_rank(y, keys).alias("_y"))
-    moving = (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0) & (F.count(F.lit(1)) >= min_n)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(moving, F.corr("_x", "_y")).alias("spearman"))
+    r = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))  # corr raises where nothing varies
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_n, r).alias("spearman"))
 
 
 def rank_auc(df: DataFrame, keys: list[str], score: str, positive: str, ties: str = "average") -> DataFrame:

@@ -34,6 +34,8 @@ class Workspace:
 
     def keep(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
         self.catalog.write(name, df, partition=partition)
+        if not self.catalog.exists(name):
+            return df.limit(0)
         self.catalog.try_register(name)
         return self.catalog.table(name)
 

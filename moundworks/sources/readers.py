@@ -159,9 +159,17 @@ class Catalog:
         self.spark, self.root, self.names = spark, root, {identifier(n): p for n, p in names.items()}
 
     def exists(self, name: str) -> bool:
+        """Whether any rows were written: a partitioned table of none is a folder without files."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.names[name]}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return False
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            if files.next().getPath().getName()[0] not in "._":
+                return True
+        return False
 
     def table(self, name: str) -> DataFrame:
         if name not in self.names or not self.exists(name):

@@ -93,7 +93,7 @@ def running_priors_by_batch(events: DataFrame, write: Callable[[DataFrame, int],
         merged = old.join(new, "user_id", "full")
         zero = F.lit(0).cast("long")
         path = f"{folder}/{number}"
-        merged.select("user_id", (F.coalesce("seen", zero) + F.coalesce("n", zero)).alias("seen"), (F.coalesce("purchases", zero) + F.coalesce("b", zero)).alias("purchases"), F.coalesce("l", "last").alias("last")).write.mode("overwrite").parquet(path)
+        merged.select("user_id", (F.coalesce("seen", zero) + F.coalesce("n", zero)).alias("seen"), (F.coalesce("purchases", zero) + F.coalesce("b", zero)).alias("purchases"), F.when(F.col("n").isNotNull(), F.col("l")).otherwise(F.col("last")).alias("last")).write.mode("overwrite").parquet(path)
         versions.append(path)
 
     return run
