@@ -25,8 +25,8 @@ from .common import as_bytes, small_batches
 
 #: The split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Pieces whose ids are remembered by a worker; the table starts anew when it is full, so its memory is bounded.
-REMEMBERED = 300_000
+#: Bytes of pieces whose ids a worker remembers (the table starts anew when it is full), and of the longest such piece.
+REMEMBERED, LONGEST = 24 << 20, 64
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -38,8 +38,23 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """Refuses a tokenizer file whose parts this operator doesn't have, rather than encode by others."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    odd += [f"model.{k}" for k in ("byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["model.type"] if model.get("type", "BPE") != "BPE" else []
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    odd += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) else []
+    odd += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(odd)}")
+
+
 class ByteBpe:
     def __init__(self, spec: dict):
+        check(spec)
         model = spec["model"]
         letters = {c: b for b, c in byte_alphabet().items()}
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
@@ -53,6 +68,7 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")").split if special else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -80,9 +96,12 @@ class ByteBpe:
     def packed(self, piece: str) -> bytes:
         ids = self.merge(piece.encode())
         out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[piece] = out
+        if len(piece) <= LONGEST:
+            self.held += len(piece) + len(out) + 100  # about what Python adds to the two
+            if self.held > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[piece] = out
         return out
 
     def encode_packed(self, text: str) -> bytes:

@@ -119,7 +119,7 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """The stored form of each text read back, with its pairs digested into ``feature``."""
+    """The stored form of each text read back: its pairs as time-coded arrays, and digested into ``feature``."""
     read = read_media(encode_media(docs))
     feature = F.concat(F.size("code").cast("string"), F.lit(":"), F.lower(F.hex(F.xxhash64("time", "code"))))
-    return read.withColumn("feature", feature).drop("time", "code")
+    return read.withColumn("feature", feature)

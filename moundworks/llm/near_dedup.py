@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, cut, small_batches
+from .common import WORD, Scratch, as_bytes, row_key, small_batches
 
 WIDTH = 2
 BINS, ROWS = 512, 8
@@ -175,10 +175,10 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[p
     yield flush()
 
 
-def compared(spark: SparkSession, rows: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+def compared(scratch: Scratch, rows: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     """The links (a, b) of blocks (hub, part, against) of rows node, comp, asks, rest."""
     full = rows.join(bodies, "node").repartition("hub", "part", "against").sortWithinPartitions("hub", "part", "against")
-    return cut(full.select("hub", "part", "against", "node", "comp", "asks", "rest", "text").mapInArrow(partial(_linked, width=width), "a long, b long"), spark)
+    return scratch.cut(full.select("hub", "part", "against", "node", "comp", "asks", "rest", "text").mapInArrow(partial(_linked, width=width), "a long, b long"))
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,39 +197,39 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "p"])
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of an edge, comp the smallest id reachable.
 
     Contraction: every node goes to its neighbour (or itself) of the smallest hash, edges follow, and what is left is
     done again; a hash order lets any graph shrink by a constant factor, so the rounds are few. What is left once it has
     no more than FINISH edges is finished by union-find in one task, whose input that number bounds.
     """
-    left = cut(edges.select("a", "b").filter("a <> b").distinct(), spark)
+    left = scratch.cut(edges.select("a", "b").filter("a <> b").distinct())
     label: DataFrame | None = None
     while n_left := left.count():
         both = left.union(left.select("b", "a"))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
         last = n_left <= FINISH
         hop = left.coalesce(1).mapInArrow(_trees, "u long, p long") if last else low.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("p"))
-        hop = cut(hop, spark)
+        hop = scratch.cut(hop)
         label = hop if label is None else label.join(hop.toDF("q", "r"), F.col("p") == F.col("q"), "left").select("u", F.coalesce("r", "p").alias("p"))
         if last:
             break
         moved = left.join(hop.toDF("a", "pa"), "a").join(hop.toDF("b", "pb"), "b").filter("pa <> pb")
-        left = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), spark)
+        left = scratch.cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if label is None:
         return left.toDF("id", "comp")
-    label = cut(label, spark)
+    label = scratch.cut(label)
     least = label.groupBy("p").agg(F.min("u").alias("comp"))
-    return cut(label.join(least, "p").select(F.col("u").alias("id"), "comp"), spark)
+    return scratch.cut(label.join(least, "p").select(F.col("u").alias("id"), "comp"))
 
 
-def merged(spark: SparkSession, label: DataFrame, found: DataFrame) -> DataFrame:
+def merged(scratch: Scratch, label: DataFrame, found: DataFrame) -> DataFrame:
     """The labels after further links: components of components."""
     ends = with_component(with_component(found, label, "a").withColumnRenamed("comp", "ca"), label, "b").select(F.col("ca").alias("a"), F.col("comp").alias("b"))
-    over = components(spark, ends)
+    over = components(scratch, ends)
     new = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
-    return cut(with_component(label.union(new).withColumnRenamed("comp", "old"), over, "old").select("id", "comp"), spark)
+    return scratch.cut(with_component(label.union(new).withColumnRenamed("comp", "old"), over, "old").select("id", "comp"))
 
 
 def with_component(rows: DataFrame, label: DataFrame, on: str) -> DataFrame:
@@ -244,7 +244,7 @@ def _part(node: str, of: str) -> Column:
     return F.pmod(F.xxhash64(node), F.col(of)).cast("int")
 
 
-def by_stars(spark: SparkSession, spokes: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+def by_stars(scratch: Scratch, spokes: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     """Links of the star-shaped edges: each hub against the classes of its buckets."""
     near = spokes.filter("100 * least(size, hub_size) >= 80 * greatest(size, hub_size)")
     parts = near.groupBy("hub").agg(F.sum("size").alias("all")).select("hub", _parts("all").alias("parts"))
@@ -252,16 +252,16 @@ def by_stars(spark: SparkSession, spokes: DataFrame, bodies: DataFrame, width: i
     no = F.lit(False)
     answers = blocked.select("hub", _part("node", "parts").alias("part"), F.lit(0).alias("against"), "node", F.col("node").alias("comp"), no.alias("asks"), no.alias("rest"))
     asks = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("against"), F.col("hub").alias("node"), F.col("hub").alias("comp"), F.lit(True).alias("asks"), no.alias("rest"))
-    return compared(spark, answers.union(asks), bodies, width)
+    return compared(scratch, answers.union(asks), bodies, width)
 
 
-def by_blocks(spark: SparkSession, spokes: DataFrame, label: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+def by_blocks(scratch: Scratch, spokes: DataFrame, label: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     """Links that the stars missed: of hubs with several components, the classes outside the hub's against all."""
     hubs = spokes.groupBy("hub").agg(F.max("hub_size").alias("size")).select("hub", F.col("hub").alias("node"), "size")
     members = with_component(spokes.select("hub", "node", "size").union(hubs), label, "node")
     own = F.max(F.when(F.col("node") == F.col("hub"), F.col("comp")))
     several = members.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), own.alias("main")).filter("lo < hi").select("hub", "main")
-    members = cut(members.join(several, "hub").withColumn("rest", F.col("comp") != F.col("main")), spark)
+    members = scratch.cut(members.join(several, "hub").withColumn("rest", F.col("comp") != F.col("main")))
     if members.isEmpty():
         return members.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     parts = members.groupBy("hub").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("rest"), F.col("size"))).alias("some")).select("hub", _parts("all").alias("parts"), _parts("some").alias("askers"))
@@ -269,49 +269,48 @@ def by_blocks(spark: SparkSession, spokes: DataFrame, label: DataFrame, bodies:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     answers = blocked.select("hub", _part("node", "parts").alias("part"), upto("askers").alias("against"), "node", "comp", F.lit(False).alias("asks"), "rest")
     asks = blocked.filter("rest").select("hub", upto("parts").alias("part"), _part("node", "askers").alias("against"), "node", "comp", F.lit(True).alias("asks"), "rest")
-    return compared(spark, answers.union(asks), bodies, width)
-
-
-def row_key() -> Column:
-    """A hash of doc_id and text."""
-    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return F.xxhash64(doc, doc.isNull(), text, text.isNull())
+    return compared(scratch, answers.union(asks), bodies, width)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("k"))
 
 
-def _grouped(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, k, n_shingles, component_id, stands (whether it is the one that stands for its group): a row for each of docs."""
-    docs = _keyed(docs)
-    signed = cut(docs.select("doc_id", "k", "text").mapInArrow(partial(_sign, width=width), SIGNED), spark)
+def _classes(scratch: Scratch, docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
+    """(digest, comp, head): the class of each set, the component it is in, and the class's first row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("head")
     classes = signed.filter("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), spark)  # numbered once: the table is written
+    classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbered once: the table is written
 
     member = classes.select("node", "size", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    in_bucket = cut(member.join(buckets, "bucket"), spark)
+    in_bucket = scratch.cut(member.join(buckets, "bucket"))
     central = in_bucket.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = in_bucket.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("last"), "size")).alias("h"))
     hubs = hubs.select("bucket", (-F.col("h.last")).alias("hub"), F.col("h.size").alias("hub_size"))
-    spokes = cut(in_bucket.join(hubs, "bucket").filter("node <> hub").select("hub", "hub_size", "node", "size").distinct(), spark)
+    spokes = scratch.cut(in_bucket.join(hubs, "bucket").filter("node <> hub").select("hub", "hub_size", "node", "size").distinct())
 
     wanted = spokes.select(F.explode(F.array("hub", "node")).alias("node")).distinct().join(classes.select("node", F.col("head.k").alias("k")), "node")
-    bodies = cut(docs.select("k", "text").join(wanted, "k").groupBy("node").agg(F.first("text").alias("text")), spark)
-    label = components(spark, by_stars(spark, spokes, bodies, width))
-    more = by_blocks(spark, spokes, label, bodies, width)
+    bodies = scratch.cut(docs.select("k", "text").join(wanted, "k").groupBy("node").agg(F.first("text").alias("text")))
+    label = components(scratch, by_stars(scratch, spokes, bodies, width))
+    more = by_blocks(scratch, spokes, label, bodies, width)
     if not more.isEmpty():
-        label = merged(spark, label, more)
-
-    placed = cut(with_component(classes.select("digest", "node", "head"), label, "node").select("digest", "comp", "head"), spark)
-    heads = placed.groupBy("comp").agg(F.min("head").alias("first"))
-    placed = placed.join(heads, "comp").select(F.col("digest").alias("_digest"), "first")
-    rows = signed.select("doc_id", "k", "n_shingles", "digest").join(placed, F.col("digest") == F.col("_digest"), "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    stands = F.col("digest").isNull() | ((F.col("k") == F.col("first.k")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    return rows.select("doc_id", "k", "n_shingles", component.alias("component_id"), stands.alias("stands"))
+        label = merged(scratch, label, more)
+    return with_component(classes.select("digest", "node", "head"), label, "node").select("digest", "comp", "head")
+
+
+def _grouped(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, k, n_shingles, component_id, stands (whether it is the one that stands for its group): a row for each of docs."""
+    docs = _keyed(docs)
+    with Scratch(spark) as scratch:
+        signed = scratch.cut(docs.select("doc_id", "k", "text").mapInArrow(partial(_sign, width=width), SIGNED))
+        placed = scratch.cut(_classes(scratch, docs, signed, width))
+        heads = placed.groupBy("comp").agg(F.min("head").alias("first"))
+        placed = placed.join(heads, "comp").select(F.col("digest").alias("_digest"), "first")
+        rows = signed.select("doc_id", "k", "n_shingles", "digest").join(placed, F.col("digest") == F.col("_digest"), "left")
+        component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+        stands = F.col("digest").isNull() | ((F.col("k") == F.col("first.k")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+        return scratch.cut(rows.select("doc_id", "k", "n_shingles", component.alias("component_id"), stands.alias("stands")), keep=True)
 
 
 def groups(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -31,11 +31,13 @@ cut AS (SELECT stratum, {", ".join(f"min(CASE WHEN rule = '{r}' THEN cutoff END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} > {r}_cutoff, false)" for r in RULES)}) AS kept,
   stratum, {", ".join(RULES)}, {", ".join(f"{r}_cutoff" for r in RULES)} FROM s LEFT JOIN cut USING (stratum)"""
 
-OP2 = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+OP2 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, coalesce(url, '') AS u FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, regexp_extract(u, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) AS query FROM p),
+k AS (SELECT *, lower(array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END) AS url_key,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM f)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f"""
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to, url_key, captured, (row_number() OVER (ORDER BY url_key, captured, page_id) - 1)::BIGINT AS history_place FROM k"""
 
 OP5 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({SMALL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -7,7 +7,10 @@ documents are lost", i.e. P(Bin(n, alpha) <= k) <= delta / m for k losses among
 the cutoffs are tested in fixed sequence from lenient to strict, stopping at the first failure; across the m pairs of
 rule and stratum delta is split evenly (Bonferroni). A pair without an admissible cutoff never rejects.
 
-Defined cases: null text has no words, so base_failed; empty labels or few of them leave all method rules inactive;
+The bound takes the labelled documents as independent: copies of one text under several ids count as often as they are
+labelled, so a labelled set with many copies should be thinned to one label a text before it is passed.
+
+Defined cases: null doc_id is judged like others and is never in the holdout; null text has no words, so base_failed; empty labels or few of them leave all method rules inactive;
 labels with null quality are ignored; several labels of one document count as the lowest of them; repeated document
 rows are judged one by one, and count once each in the holdout; extra columns are ignored by ``judge`` and carried by
 ``keep_good``.
@@ -21,7 +24,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let
+from .common import WORD, Scratch, let
 
 #: Per rule: the score's name and its cutoffs from lenient to strict. Scores are percentages.
 RULES: dict[str, tuple[float, ...]] = {
@@ -138,7 +141,7 @@ def verdict(scored: DataFrame, cutoffs: DataFrame, rules: dict[str, tuple[float,
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept, the scores and the cutoffs that applied, for each row of docs."""
-    scored = cut(with_signals(docs.select("doc_id", "text")).select("doc_id", "signal.*"), spark)
+    scored = Scratch(spark).cut(with_signals(docs.select("doc_id", "text")).select("doc_id", "signal.*"), keep=True)
     judged = verdict(scored, fit_cutoffs(scored, labels))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum"]
     return judged.select(*first, *RULES, *[f"{r}_cutoff" for r in RULES])

@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.histories(spark, read_table(spark, sf_dir, "pages"))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_place")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,17 +7,18 @@ with a bounded shard in place of a broadcast:
 
 1. every window has a key, the least hash of its KGRAM-word grams (a minimiser): equal windows have equal keys. Runs of
    windows with one key make a *piece*; a piece is a row of hashes and numbers (one for about 15 words).
-2. keys seen once go (by a pre-aggregated count), pieces that occur as a whole more than once are removed as a whole;
+2. keys seen once go (by a pre-aggregated count);
 3. of the other keys one example of each different piece, with its number of occurrences, is sent to the key's shard. A
    shard builds the suffix automaton of its pieces, with occurrence counts, and streams the pieces through it: where the
-   matching statistic reaches LENGTH, the state tells how often the window occurs. Maximal repeated spans go.
+   matching statistic reaches LENGTH, the state tells how often the window occurs. Maximal repeated spans of a piece are
+   what the automaton finds, and they go from every place where the piece stands.
 4. a key with more than SHARD_PIECES different pieces (a very common passage) is cut into several shards; windows that
    are unique in their shard are then counted over the key's shards by hash, so the result stays exact.
 
 Words compare by 64-bit hashes. Defined cases: null text has no words (kept_sha256 of the empty text); fewer than LENGTH
-words: nothing goes; repeated rows repeat each other's windows, so all their windows go; rows of one doc_id with
-different texts are told apart by a hash of the text; an empty table gives an empty table; extra columns are ignored by
-``dedup`` and carried by ``without_repeats``.
+words: nothing goes; repeated rows repeat each other's windows, so all their windows go; rows are told apart by a hash of
+doc_id and text, so null ids and several texts of one id are rows like others; an empty table gives an empty table; extra
+columns are ignored by ``dedup`` and carried by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, small_batches
+from .common import Scratch, as_bytes, row_key, small_batches
 from .near_dedup import mixed
 
 LENGTH, KGRAM = 35, 8
@@ -39,8 +40,9 @@ SHARD_PIECES = 400
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
-PIECES = "key long, piece long, doc_id long, th int, s int, n int, inner int"
-FOUND = "doc_id long, th int, s int, e int, w long, times int"
+PIECES = "key long, piece long, k long, s int, n int, inner int"
+FETCHED = "key long, part int, parts int, piece long, times int, words binary"
+FOUND = "key long, piece long, a int, b int, w long, times int"
 
 
 class _Powers:
@@ -163,46 +165,51 @@ def spans(repeated: list[bool]) -> Iterator[tuple[int, int]]:
             start = None
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, 2 << 20):
         rows = []
-        for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch, "text"), strict=True):
+        for k, text in zip(batch.column("k").to_pylist(), as_bytes(batch, "text"), strict=True):
             words = (text or b"").split()
             if len(words) >= LENGTH:
                 key, piece, first, count, inner = pieces(word_hashes(words))
-                rows.append((key, piece, np.full(len(key), doc), np.full(len(key), th), first, count, inner))
+                rows.append((key, piece, np.full(len(key), k), first, count, inner))
         if rows:
-            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
-            columns = [np.concatenate([r[i] for r in rows]) for i in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(t) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["key", "piece", "doc_id", "th", "s", "n", "inner"])
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+            columns = [np.concatenate([r[i] for r in rows]) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(t) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes of the examples that each text was asked for."""
     for batch in small_batches(batches, 2 << 20):
         out = []
-        for doc, th, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch, "text"), batch.column("wanted").to_pylist(), strict=True):
+        for text, wanted in zip(as_bytes(batch, "text"), batch.column("wanted").to_pylist(), strict=True):
             h = word_hashes(text.split())
-            out += [(x["key"], x["part"], x["parts"], x["times"], doc, th, x["s"], h[x["s"] : x["s"] + x["n"] + LENGTH - 1].tobytes()) for x in wanted]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            out += [(x["key"], x["part"], x["parts"], x["piece"], x["times"], h[x["s"] : x["s"] + x["n"] + LENGTH - 1].tobytes()) for x in wanted]
         for start in range(0, len(out), 2000):
-            part = zip(*out[start : start + 2000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["key", "part", "parts", "times", "doc_id", "th", "s", "words"])
+            yield _batch(out[start : start + 2000], FETCHED)
 
 
-def _shard(rows: list[tuple], parts: int) -> list[tuple]:
-    """Spans of one shard, and for a key of several shards the windows that must be counted over all of them."""
-    sequences = [np.frombuffer(r[3], dtype=np.int64) for r in rows]
+def _shard(key: int, rows: list[tuple], parts: int) -> list[tuple]:
+    """Spans (in words of the piece) of one shard's pieces (piece, times, words), and for a key of several shards the windows
+    that must be counted over all of them."""
+    sequences = [np.frombuffer(words, dtype=np.int64) for *_, words in rows]
     tokens = [s.tolist() for s in sequences]
-    automaton = SuffixAutomaton(tokens, [r[4] for r in rows])
+    automaton = SuffixAutomaton(tokens, [times for _, times, _ in rows])
     out, told = [], set()
-    for (doc, th, s, _, _), sequence, own in zip(rows, sequences, tokens, strict=True):
+    for (piece, _, _), sequence, own in zip(rows, sequences, tokens, strict=True):
         found = automaton.windows(own, LENGTH)
-        out += [(doc, th, s + a, s + b, None, None) for a, b in spans([times > 1 for _, times in found])]
+        out += [(key, piece, a, b, None, None) for a, b in spans([times > 1 for _, times in found])]
         if parts > 1:
             for i, ((state, times), w) in enumerate(zip(found, window_hashes(sequence.view(np.uint64)).tolist(), strict=True)):
                 if times == 1:
-                    out.append((doc, th, s + i, s + i + LENGTH, w, 1))
+                    out.append((key, piece, i, i + LENGTH, w, 1))
                 elif state not in told:
                     told.add(state)
                     out.append((None, None, None, None, w, 2))
@@ -211,56 +218,46 @@ def _shard(rows: list[tuple], parts: int) -> list[tuple]:
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, part): one shard after the other."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-    names = ["doc_id", "th", "s", "e", "w", "times"]
     held: list[tuple] = []
     at, parts, out = None, 1, []
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("key", "part", "parts", "doc_id", "th", "s", "words", "times"))
+        columns = (batch.column(c).to_pylist() for c in ("key", "part", "parts", "piece", "times", "words"))
         for key, part, many, *row in zip(*columns, strict=True):
             if (key, part) != at:
                 if held:
-                    out += _shard(held, parts)
+                    out += _shard(at[0], held, parts)
                 at, parts, held = (key, part), many, []
                 if len(out) > 5000:
-                    yield flush(out)
+                    yield _batch(out, FOUND)
                     out = []
             held.append(tuple(row))
     if held:
-        out += _shard(held, parts)
+        out += _shard(at[0], held, parts)
     if out:
-        yield flush(out)
+        yield _batch(out, FOUND)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, s, e): spans of words that go. docs: as from ``_keyed``."""
-    cuts = cut(docs.mapInArrow(_cut_pieces, PIECES), spark)
-    keys = cuts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("t"), F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.max("inner").alias("inner"))
-    keys = keys.filter("t > 1 or inner > 0").select("k", F.expr("lo <> hi or inner > 0").alias("several"))
-    open_ = cut(cuts.join(keys, F.col("key") == F.col("k")).drop("k", "inner"), spark)
-    kinds = cut(open_.groupBy("key", "piece").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "s", "n")).alias("x"), F.first("several").alias("several")), spark)
-    whole = open_.join(kinds.filter("times > 1").select("key", "piece"), ["key", "piece"]).select("doc_id", "th", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))
-
-    examples = kinds.filter("several").select("key", F.least("times", F.lit(2)).cast("int").alias("times"), "x.*")
-    parts = examples.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / SHARD_PIECES).cast("int").alias("parts"))
-    examples = examples.join(parts, F.col("key") == F.col("k")).drop("k").withColumn("part", F.pmod(F.xxhash64("doc_id", "s"), F.col("parts")).cast("int"))
-    wanted = examples.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "part", "parts", "times", "s", "n")).alias("wanted"))
-    asked = docs.join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    content = asked.select("doc_id", "th", "text", "wanted").mapInArrow(_fetch, "key long, part int, parts int, times int, doc_id long, th int, s int, words binary")
-    dealt = content.repartition("key", "part").sortWithinPartitions("key", "part")
-    found = cut(dealt.mapInArrow(_match, FOUND), spark)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("k"))
+
+
+def repeated_spans(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(k, s, e): spans of words that go. docs: k and text, as from ``_keyed``."""
+    cuts = scratch.cut(docs.mapInArrow(_cut_pieces, PIECES))
+    keys = cuts.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("t"), F.max("inner").alias("i")).filter("t > 1 or i > 0").select("_key")
+    open_ = scratch.cut(cuts.join(keys, F.col("key") == F.col("_key")).drop("_key", "inner"))
+    examples = open_.groupBy("key", "piece").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("times"), F.min(F.struct("k", "s", "n")).alias("x")).select("key", "piece", "times", "x.*")
+    examples = scratch.cut(examples)
+    parts = examples.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / SHARD_PIECES).cast("int").alias("parts"))
+    dealt = examples.join(parts, F.col("key") == F.col("_key")).drop("_key").withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int"))
+    wanted = dealt.groupBy("k").agg(F.collect_list(F.struct("key", "part", "parts", "piece", "times", "s", "n")).alias("wanted"))
+    asked = docs.join(wanted, "k").dropDuplicates(["k"]).select("text", "wanted")
+    content = asked.mapInArrow(_fetch, FETCHED).repartition("key", "part").sortWithinPartitions("key", "part")
+    found = scratch.cut(content.mapInArrow(_match, FOUND))
     again = found.filter("w is not null").groupBy("w").agg(F.sum("times").alias("t")).filter("t > 1").select("w")
-    shared = found.filter("doc_id is not null and w is not null").join(again, "w").select("doc_id", "th", "s", "e")
-    return whole.union(found.filter("w is null").select("doc_id", "th", "s", "e")).union(shared)
+    shared = found.filter("key is not null and w is not null").join(again, "w")
+    of_piece = found.filter("w is null").select("key", "piece", "a", "b").union(shared.select("key", "piece", "a", "b"))
+    return open_.join(of_piece, ["key", "piece"]).select("k", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
 
 
 def _covered(n: int, gone: list[dict] | None) -> np.ndarray:
@@ -286,15 +283,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _by_document(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    gone = repeated_spans(spark, docs.select("doc_id", "th", "text"))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
+def _by_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    with Scratch(spark) as scratch:
+        gone = repeated_spans(scratch, docs.select("k", "text"))
+        return scratch.cut(gone.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("gone")), keep=True)
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, a row for each of docs."""
     docs = _keyed(docs)
-    rows = docs.join(_by_document(spark, docs), ["doc_id", "th"], "left").select("doc_id", "text", "gone")
+    rows = docs.join(_by_row(spark, docs), "k", "left").select("doc_id", "text", "gone")
     return rows.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -304,8 +302,8 @@ WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with the repeated words cut out of text (with the white space behind them), and a new n_chars if there is one.
     A document of which nothing is left goes."""
-    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    joined = keyed.join(_by_document(spark, _keyed(docs)), ["doc_id", "th"], "left")
+    keyed = docs.select(F.struct("*").alias("_row"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    joined = keyed.join(_by_row(spark, _keyed(docs)), "k", "left")
 
     @F.pandas_udf("string")
     def clean(text, gone):

@@ -22,15 +22,17 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import Scratch, small_batches
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
 #: Pages have no time of capture: they are taken to be captured one second after another, by page_id.
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
+#: Seconds from the first capture to the end of the calendar.
+LAST_SECOND = 250_000_000_000
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ENTRY = "archive string, place long, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -47,11 +49,11 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){parts.path or '/'}{query}".lower() if host else url.lower()
 
 
-def assign(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def assign(scratch: Scratch, pages: DataFrame) -> DataFrame:
     """page_id, url, html, payload_digest, refers_to (null: a response)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    digests = cut(rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("n")), spark)
+    digests = scratch.cut(rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("n")))
     first = digests.filter(f"n >= {REVISIT_BYTES}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
     again = digests.join(first, "digest").filter("page_id <> first").select(F.col("page_id").alias("_page"), "digest", "first").distinct()
     whole = rows.withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -62,7 +64,7 @@ def assign(spark: SparkSession, pages: DataFrame) -> DataFrame:
 def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     name = lambda x: f"<urn:page:{'' if x is None else x}>"
     safe = "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
-    when = FIRST_CAPTURE + timedelta(seconds=(page or 0) % 10**9)
+    when = FIRST_CAPTURE + timedelta(seconds=(page or 0) % LAST_SECOND)
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}"]
@@ -71,14 +73,19 @@ def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: i
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + b"\r\n\r\n", 4, mtime=0)
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(place, content) of each gzip member."""
-    at = 0
-    while at < len(data):
-        unzip = zlib.decompressobj(31)
-        content = unzip.decompress(memoryview(data)[at:])
-        yield at, content
-        at = len(data) - len(unzip.unused_data)
+def members(data: bytes, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of each gzip member. The archive is fed in chunks, so that what a member leaves over is never more
+    than one: the work stays in proportion to the archive."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unzip, parts, end = zlib.decompressobj(31), [], at
+        while not unzip.eof and end < len(view):
+            parts.append(unzip.decompress(view[end : end + chunk]))
+            end = min(end + chunk, len(view))
+        if not unzip.eof:
+            raise ValueError(f"cut off record at {at}")
+        yield at, b"".join(parts)
+        at = end - len(unzip.unused_data)
 
 
 def parse(place: int, content: bytes) -> tuple:
@@ -210,8 +217,14 @@ def merge_runs(entries: DataFrame, ranges: int) -> DataFrame:
 
 
 def histories(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes the archives of pages, reads them back and returns their merged index. A range takes about 100,000 entries."""
-    archives = cut(write_archives(assign(spark, pages)), spark)
-    entries = cut(read_archives(archives), spark)
-    ranges = max(spark.sparkContext.defaultParallelism, entries.count() // 100_000)
-    return merge_runs(entries, ranges)
+    """Writes the archives of pages, reads them back and returns their merged index with ``history_place``, an entry's place in
+    the global history: its place in its range after the sizes of the ranges before. A range takes about 100,000 entries."""
+    with Scratch(spark) as scratch:
+        archives = scratch.cut(write_archives(assign(scratch, pages)))
+        entries = scratch.cut(read_archives(archives))
+        ranges = max(spark.sparkContext.defaultParallelism, entries.count() // 100_000)
+        merged = scratch.cut(merge_runs(entries, ranges), keep=True)
+    sizes = merged.groupBy("range_no").agg(F.count("*").alias("_n"))  # a row a range
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return merged.join(starts, "range_no").withColumn("history_place", F.col("_start") + F.col("range_place")).drop("_start")

@@ -1,6 +1,7 @@
 """The text operators on awkward small tables, against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from moundworks.llm import bpe, chat, language_id, licenses, media, mixing, near_dedup, quality_rules, substring, warc
+from moundworks.llm.common import Scratch, clear, scratch_dir
 from moundworks.llm.queries import vocabulary_path
 
 RNG = random.Random(5)
@@ -71,6 +73,54 @@ def test_cutoffs_keep_the_promise(spark):
     assert quality_rules.fit_cutoffs(scored, labels.limit(20)).count() == 0
 
 
+def binomial_tail(k, n, p):
+    from math import comb
+
+    return 1.0 if k >= n * p else sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+
+def test_quality_rules_reject_by_hand_made_cutoffs(spark):
+    """Enough labels that every rule has a cutoff: judge and keep_good against the method in plain Python."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(3000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([20, 100]))]
+        kind = rng.randrange(4) if i % 10 == 0 else 3
+        lines = [" ".join(words[k : k + 10]) for k in range(0, len(words), 10)]
+        if kind == 0:
+            words = ["##$$" if rng.random() < 0.7 else w for w in words]
+            lines = [" ".join(words)]
+        if kind == 1:
+            lines += [lines[0]] * 3 if len(lines) < 5 else [lines[0]]
+        if kind == 2:
+            lines = [" ".join([*words, *words[: max(5, len(words) // 20)]])]
+        rows.append((i if i else None, "\n".join(lines), "x"))
+        if rng.random() < 0.9:
+            labels.append((i, int(kind == 3), 0))
+            if i % 50 == 0:
+                labels.append((i, 0, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, signal string")
+    lab = spark.createDataFrame([*labels, (5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.judge(spark, df, lab).collect()
+    good = {d for d, q, _ in labels if q == 1} - {d for d, q, _ in labels if q == 0}
+    want = {}
+    for stratum in range(4):
+        held = [r for r in got if r.stratum == stratum and not r.base_failed and r.doc_id in good]
+        for rule, cutoffs in quality_rules.RULES.items():
+            for c in cutoffs:
+                if not held or binomial_tail(sum(r[rule] > c for r in held), len(held), quality_rules.ALPHA) > quality_rules.DELTA / 12:
+                    break
+                want[stratum, rule] = c
+    assert {rule for _, rule in want} == set(quality_rules.RULES)
+    for r in got:
+        hits = [rule for rule in quality_rules.RULES if r[rule] > want.get((r.stratum, rule), 1e9)]
+        assert r.kept == (not r.base_failed and not hits) and all(r[f"{rule}_cutoff"] == want.get((r.stratum, rule)) for rule in quality_rules.RULES)
+    rejected = [r.doc_id for r in got if not r.kept and not r.base_failed]
+    assert len(rejected) > 50
+    kept = quality_rules.keep_good(spark, df, lab)
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in got if r.kept)
+    assert quality_rules.keep_good(spark, df.limit(0), lab).count() == 0
+
+
 def test_bpe(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = vocabulary_path()
@@ -92,6 +142,38 @@ def test_bpe_keeps_ids_and_text(spark, docs):
         assert told[i].ids_sha256 == hashlib.sha256(got[i].ids).hexdigest() and told[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_table_equals_the_library_on_every_document(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary_path()
+    public, df = tokenizers.Tokenizer.from_file(path), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = "ab cd\n" * 35_000 + "é" * 5_000 + "x" * 20_000  # 235,000 characters, one piece of 20,000
+    df = df.select("doc_id", "text").union(spark.createDataFrame([(-1, long), (None, "a"), (-1, "again")], "doc_id long, text string")).withColumn("ids", F.lit("mine"))
+    texts = sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    want = []
+    for i, t in texts:
+        ids = public.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(public.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = bpe.encode_table(spark, df, path).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "a", "lstrip": True}]}, {"decoder": None}])
+def test_bpe_refuses_other_files(change):
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check(spec)
+    with pytest.raises(ValueError):
+        bpe.check(spec | change)
+
+
+def test_bpe_memory_of_pieces_is_bounded(monkeypatch):
+    own = bpe.load(vocabulary_path())
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    for i in range(2_000):
+        own.encode(f" piece{i} {'y' * (i % 200)}")
+        assert sum(len(k) + len(v) for k, v in own.known.items()) <= 5_000 and max(map(len, own.known)) <= bpe.LONGEST
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_round_trip(text):
@@ -161,6 +243,20 @@ def test_substring_of_a_passage_in_several_shards(spark, monkeypatch):
     assert {i: got[i].n_removed for i in got} == {i: sum(g) for i, g in repeated(words).items()}
 
 
+def test_substring_of_null_and_repeated_ids(spark):
+    """Null ids, two texts of one id, a row that stands twice, a text of 2 MB; clashing column names."""
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    long = [f"v{i}" for i in range(250_000)]
+    rows = [(None, [*a, "x"]), (None, ["y", *a]), (7, [*b, "z"]), (7, ["q", *b, *c]), (9, [*c, "k"]), (9, [*c, "k"]), (3, long), (4, ["m", *long[1000:1200]]), (None, None)]
+    df = spark.createDataFrame([(i, None if w is None else " ".join(w), "mine") for i, w in rows], "doc_id long, text string, k string")
+    gone = repeated({i: [x.encode() for x in w or []] for i, (_, w) in enumerate(rows)})
+    want = sorted((i or 0, len(w or []), sum(gone[n])) for n, (i, w) in enumerate(rows))
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.dedup(spark, df).collect()) == want
+    kept = [(i or 0, " ".join(x for x, g in zip(w, gone[n], strict=True) if not g)) for n, (i, w) in enumerate(rows) if w and not all(gone[n])]
+    left = substring.without_repeats(spark, df).collect()
+    assert sorted((r.doc_id or 0, " ".join(r.text.split())) for r in left if r.text) == sorted(kept) and sum(r.text is None for r in left) == 1 and {r.k for r in left} == {"mine"}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_automaton_counts_windows(sequences):
@@ -189,6 +285,39 @@ def test_mixing(spark):
     assert mixing.mix(spark, df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_rows_of_null_or_repeated_id(spark):
+    rows = [(None, "a b", "s"), (None, "a b", "s"), (None, "c d e", None), (2**60 + 1, "x", "s"), (2**60 + 1, "y y", "s"), (3, None, "t")] + [(i, "w " * (i % 7 + 1), "t") for i in range(10, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("mine"))
+    got = mixing.mix(spark, df).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 3 and sum(r.doc_id == 2**60 + 1 for r in got) == 2
+    out = mixing.apply_mix(spark, df)
+    taken = Counter((r.doc_id, r.source) for r in got for _ in range(r.copies))
+    assert out.columns == df.columns and Counter((r.doc_id, r.source) for r in out.collect()) == taken
+    assert mixing.apply_mix(spark, df.limit(0)).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=12))
+def test_target_levels_equal_the_plain_form(spark, words):
+    named = [(None if i == 3 else f"s{i:02d}", n) for i, n in enumerate(words)]
+    with Scratch(spark) as scratch:
+        table = mixing.target_table(scratch, spark.createDataFrame([(s, n, 1) for s, n in named], "source string, words long, n long")).collect()
+    plain = mixing.targets(named)
+    assert {r.source: pytest.approx(r.target, rel=1e-9, abs=1e-9) for r in table} == plain
+
+
+@pytest.mark.parametrize("sizes", [[60, 40, 50, 30, 30, 20, 20, 10, 10, 10], [900, 400, 50, 30, 30, 20, 20, 10, 10, 10], [5, 5, 5, 3, 3]])
+def test_settling_keeps_every_probability(sizes):
+    """Over many seeds each row, of the reserve or not, is taken as often as its probability says, also where one document
+    outweighs the reserve; where none does, the words end within one row of the reserve."""
+    n, held = 4000, [i > 2 for i in range(len(sizes))]
+    for p in (0.2, 0.5, 0.85):
+        got = np.array([mixing.settle(list(range(len(sizes))), sizes, [p] * len(sizes), held, seed) for seed in range(n)])
+        assert np.abs(got.mean(axis=0) - p).max() < 4.5 * np.sqrt(p * (1 - p) / n)
+        if sizes[0] == 60 and p == 0.5:
+            assert np.abs(got @ np.array(sizes) - p * sum(sizes)).max() <= 30
+
+
 def test_pivotal_tree_over_many_groups(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
     monkeypatch.setattr(mixing, "FAN_IN", 3)
@@ -239,6 +368,26 @@ def test_warc(spark):
     assert warc.histories(spark, df.limit(0)).count() == 0
 
 
+def test_warc_of_repeated_and_null_pages(spark):
+    rows = [(1, "http://a.b/x", "p" * 200), (1, "http://a.b/x", "p" * 200), (2, "http://a.b/x", "p" * 200), (None, "http://a.b/x", "p" * 200), (None, None, None), (3, "http://a.b/y", "q" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("captured", F.lit("mine"))
+    got = warc.histories(spark, df).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (0, "response", 0), (1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0)] or sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (0, "revisit", 1), (1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0)]
+    assert sorted(r.history_place for r in got) == list(range(6))
+    late = warc.record(2 * 10**9, "http://a.b", b"x", "d", None)
+    assert b"WARC-Date: 2087-05-18T03:33:20Z" in next(iter(warc.members(late)))[1]
+
+
+def test_members_of_any_chunk():
+    parts = [warc.record(i, f"http://h/{i}", bytes([i % 251]) * (i * 37 % 5000), "d", None) for i in range(40)]
+    data = b"".join(parts)
+    for chunk in (7, 1000, 1 << 16):
+        found = list(warc.members(data, chunk))
+        assert [p for p, _ in found] == [sum(map(len, parts[:i])) for i in range(40)]
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-5]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 9)), max_size=8), max_size=7))
 def test_loser_tree(runs):
@@ -259,6 +408,39 @@ def test_language(spark):
         assert len({tuple(w) for w in words}) == k
 
 
+def test_language_held_out_accuracy_and_decoding(spark):
+    """Every document of sf0.01: over 0.98 of those that training never saw are right; and the decoder against its definition."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in df.collect()}
+    got = language_id.identify(spark, df).collect()
+    held = [r for r in got if r.held_out and r.lang_pred != "und" and lang[r.doc_id]]
+    assert len(held) > 200 and sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.98
+    again = {r.doc_id: r.score for r in language_id.identify(spark, df.repartition(7)).collect()}
+    assert again == {r.doc_id: r.score for r in got}
+    rng = np.random.default_rng(0)
+    words = language_id.codewords(7)
+    model = language_id.Model([f"l{i}" for i in range(7)], words, np.zeros((2, words.shape[1])), np.zeros(words.shape[1]), rng.random(words.shape[1]))
+    margins = rng.normal(size=(50, words.shape[1]))
+    best, score, close = model.decode(margins)
+    for m, b, s_, c in zip(margins, best, score, close, strict=True):
+        loss = [sum(w * np.log1p(np.exp(-x * bit)) for w, x, bit in zip(model.weight, m, word, strict=True)) for word in words]
+        order = sorted(range(7), key=loss.__getitem__)
+        assert b == order[0] and s_ == pytest.approx(np.exp(-4 * loss[b]) / sum(np.exp(-4 * x) for x in loss), rel=1e-4)
+        assert c == (loss[order[1]] - loss[order[0]] < language_id.AMBIGUOUS) or abs(loss[order[1]] - loss[order[0]] - language_id.AMBIGUOUS) < 1e-5
+
+
+def test_language_of_copies_and_many_languages(spark):
+    """A language of one text copied often is learnt; more languages than the sample has room for don't stop it."""
+    alphabet, rng = "abcdefghijklmnopqrstuvwxyz", random.Random(1)
+    rows = [(3 * i, "qq ww " * 20, "copy") for i in range(300)] + [(3 * i + 1000, "".join(rng.choice("abcd ") for _ in range(100)), "abc") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(spark, df).collect()
+    assert sum(r.lang_pred == ("copy" if r.doc_id < 900 else "abc") for r in got) == 360
+    many = spark.createDataFrame([(i, alphabet[k % 26] * 5 + " " + alphabet[k // 26] * 5, f"l{k}") for k in range(60) for i in (k, k + 100)], "doc_id long, text string, lang string")
+    model = language_id.train(spark, many, 40)
+    assert 2 <= len(model.languages) <= 60
+
+
 def test_licenses(spark, docs):
     got = by_id(licenses.scan_table(docs))
     assert (got[12].n_base, got[12].first_word, got[12].last_word, got[12].base_labels) == (4, 0, 8, "cc-by,gpl,reserved")
@@ -269,6 +451,23 @@ def test_licenses(spark, docs):
     assert licenses.scan(b"x SPDX-License-Identifier: MIT OR GPL-2.0 */\nrest")[5] == "gpl-2.0,mit"
 
 
+PIECES = ["cc by", "CC-BY", "general public license", "General\nPublic License", "all rights reserved", "lesser general public license", "mit license", "MIT", "é", "cc", "by", "public", "domain", "x", "cc0", ",", "License", "the"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14))
+def test_license_scan_equals_plain_search(parts):
+    text = " ".join(parts)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    at = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in {**licenses.NOTICES, **licenses.BASE}.items() for label in [p]}
+    base = sorted(i for p in licenses.BASE for i in at[p])
+    labels = sorted({{**licenses.NOTICES, **licenses.BASE}[p] for p, places in at.items() if places})
+    got = licenses.scan(text.encode())
+    assert got[:4] == (len(words), len(base), min(base, default=None), max(base, default=None))
+    assert got[4] == ",".join(sorted({licenses.BASE[p] for p in licenses.BASE if at[p]})) and got[5] == ",".join(labels)
+    assert got[6] == min((licenses.openness(x) for x in labels), default=0.0)
+
+
 def test_licenses_of_long_expressions():
     names = [f"lic-{i}" for i in range(500)]
     for line in (" and ".join([*names, "agpl-3.0"]), "(" + " or ".join(names) + ") and agpl-3.0", " or (".join([*names, "agpl-3.0"]) + ")" * 500):
@@ -297,6 +496,45 @@ def test_media(spark, docs):
     assert len(pairs.time) == len(pairs.code) > 0 and list(pairs.time) == sorted(pairs.time)
 
 
+def test_media_fingerprint_by_its_definition(spark):
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.randrange(32, 127)) for _ in range(n)) for n in (1, 63, 64, 65, 700, 3000)]
+    for text in texts:
+        payload = media.padded(text.encode())
+        x = [b - 128 for b in payload] + [0] * (media.FRAME - media.BLOCK)
+        n = len(payload) // media.BLOCK
+        strong, bins = [], []
+        for f in range(n):
+            frame = np.array(x[f * media.BLOCK : f * media.BLOCK + media.FRAME], dtype=float)
+            frame = (frame - frame.mean()) * np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)])
+            power = [abs(sum(v * np.exp(-2j * np.pi * k * i / media.FRAME) for i, v in enumerate(frame))) for k in range(1, media.FRAME // 2 + 1)]
+            bins.append(int(np.argmax(power)))
+            strong.append(max(power))
+        at, found = media.peaks(payload)
+        want = [f for f in range(n) if strong[f] > 0.01 and all(strong[f] >= strong[g] - 0.02 for g in (f - 1, f + 1) if 0 <= g < n)]
+        assert set(at.tolist()) <= set(want) and len(at) >= len(want) - 1 and all(bins[f] == b for f, b in zip(at.tolist(), found.tolist(), strict=True))
+        time, code = media.pair_codes(at, found)
+        pairs = sorted((int(at[i]), int(found[i]) << 16 | int(found[j]) << 8 | int(at[j] - at[i])) for i in range(len(at)) for j in (i + 1, i + 2) if j < len(at) and at[j] - at[i] <= media.REACH)
+        assert list(zip(time.tolist(), code.tolist(), strict=True)) == pairs
+    long = "ab" * 150_000
+    row = media.described(spark.createDataFrame([(1, long), (None, long), (2, None)], "doc_id long, text string").withColumn("code", F.lit(1))).collect()
+    assert [r.feature for r in row][0] == row[1].feature and row[1].doc_id is None and row[0].payload_bytes == 300_032 and list(row[0].time) == sorted(row[0].time)
+    with pytest.raises(ValueError):
+        media.from_wav(media.to_wav(b"1234").replace(b"\x01\x00\x01\x00", b"\x01\x00\x02\x00"))
+
+
+def test_scratch_goes(spark):
+    import os
+
+    with Scratch(spark) as scratch:
+        a, b = scratch.cut(spark.range(3).toDF("a")), scratch.cut(spark.range(5).toDF("b"), keep=True)
+        assert a.count() == 3
+        before = len(os.listdir(scratch_dir(spark)))
+    assert len(os.listdir(scratch_dir(spark))) == before - 1 and b.count() == 5
+    clear(spark)
+    assert not os.path.exists(scratch_dir(spark))
+
+
 def test_words_pattern():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a b\x1cc d") == [w.decode() for w in "a b\x1cc d".encode().split()]
 
@@ -305,9 +543,10 @@ def test_words_pattern():
 def test_components_of_any_size_of_the_last_task(spark, monkeypatch, finish):
     monkeypatch.setattr(near_dedup, "FINISH", finish)
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 30)] + [(3, 2), (2, 1), (7, 7), (40, 30)], "a long, b long")
-    got = {r.id: r.comp for r in near_dedup.components(spark, edges).collect()}
-    assert got == dict.fromkeys([*range(10, 31), 40], 10) | dict.fromkeys([1, 2, 3], 1)
-    assert near_dedup.components(spark, edges.limit(0)).count() == 0
+    with Scratch(spark) as scratch:
+        got = {r.id: r.comp for r in near_dedup.components(scratch, edges).collect()}
+        assert got == dict.fromkeys([*range(10, 31), 40], 10) | dict.fromkeys([1, 2, 3], 1)
+        assert near_dedup.components(scratch, edges.limit(0)).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
