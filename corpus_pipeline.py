@@ -1,6 +1,11 @@
 """From raw documents to token ids in five stages; every stage is written as Parquet and read again by the next.
 
 quality rules -> MinHash near-dedup -> substring dedup -> mixing to target weights -> BPE.
+
+Defined cases, for all stages: rows are told apart by doc_id and text, so rows of null id and several texts of one id are
+documents like others; null and empty texts fail the base rule and go in the first stage; very long texts are handled whole;
+of rows equal in doc_id and text one stays in the second stage; ties go to the smallest doc_id; empty tables give empty
+tables; extra columns, whatever their names, are carried to the last stage, which returns ids instead.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from moundworks.llm import bpe, mixing, near_dedup, quality_rules, substring
-from moundworks.llm.common import read_table, scratch_dir
+from moundworks.llm.common import drop, read_table, scratch_dir
 from moundworks.llm.queries import vocabulary_path
 
 
@@ -50,12 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-            out.write.parquet(path)
-            out = spark.read.schema(out.schema).parquet(path)
-        docs = out
-    return docs
+    """All stages on documents. A stage's table goes as soon as its successor's is written; the result reads the last one."""
+    docs, path = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        out, before, path = stage(spark, docs, sf_dir), path, f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            drop(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
