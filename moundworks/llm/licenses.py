@@ -26,18 +26,28 @@ from .common import as_bytes, small_batches
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Phrases that the method adds.
+#: Phrases that the method adds: names of public licences and opening words of their texts. Fixed values.
 NOTICES = {
-    "mit license": "mit", "permission is hereby granted free of charge": "mit", "apache license": "apache",
-    "redistribution and use in source and binary forms": "bsd", "mozilla public license": "mpl",
-    "lesser general public license": "lgpl", "affero general public license": "agpl",
-    "creative commons": "cc", "public domain": "public-domain", "cc0": "cc0",
+    "mit license": "mit", "permission is hereby granted free of charge": "mit",
+    "apache license": "apache", "licensed under the apache license version 2 0": "apache-2.0", "apache software license": "apache",
+    "bsd license": "bsd", "redistribution and use in source and binary forms": "bsd", "2 clause bsd": "bsd-2-clause", "3 clause bsd": "bsd-3-clause",
+    "isc license": "isc", "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "zlib license": "zlib", "boost software license": "bsl-1.0", "python software foundation license": "psf", "artistic license": "artistic", "academic free license": "afl",
+    "mozilla public license": "mpl", "eclipse public license": "epl", "common development and distribution license": "cddl", "european union public licence": "eupl", "microsoft public license": "ms-pl",
+    "lesser general public license": "lgpl", "affero general public license": "agpl", "gnu gpl": "gpl", "gnu lgpl": "lgpl", "gnu agpl": "agpl", "gnu free documentation license": "gfdl",
+    "this program is free software you can redistribute it and or modify": "gpl",
+    "creative commons": "cc", "creative commons attribution": "cc-by", "attribution sharealike": "cc-by-sa", "attribution noncommercial": "cc-by-nc", "attribution noderivatives": "cc-by-nd", "attribution noderivs": "cc-by-nd",
+    "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0": "cc0", "cc zero": "cc0",
+    "public domain": "public-domain", "this is free and unencumbered software released into the public domain": "unlicense", "open data commons": "odc", "open database license": "odbl", "sil open font license": "ofl",
+    "proprietary and confidential": "proprietary", "unauthorized copying of this file": "proprietary", "no part of this publication may be reproduced": "reserved", "reproduction without permission is prohibited": "reserved",
 }
-TAGS = ("spdx-license-identifier:", "license-expression:")
+#: The first also ends the usual longer tag.
+TAGS = ("license-identifier:", "license-expression:")
 #: Openness by the start of a label, the longest fitting first; what isn't here is unknown.
 OPENNESS = {
-    "cc0": 1.0, "public-domain": 1.0, "mit": 1.0, "bsd": 1.0, "apache": 1.0, "isc": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6,
-    "cc-by-nc": 0.2, "cc": 0.6, "mpl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "reserved": 0.0,
+    "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "mit": 1.0, "bsd": 1.0, "apache": 1.0, "isc": 1.0, "zlib": 1.0, "bsl-1.0": 1.0, "psf": 1.0, "0bsd": 1.0,
+    "cc-by": 0.9, "odc": 0.9, "ofl": 0.9, "artistic": 0.8, "afl": 0.8, "ms-pl": 0.8, "mpl": 0.7, "epl": 0.7, "cddl": 0.7, "eupl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.6, "odbl": 0.6, "cc": 0.6, "gfdl": 0.5,
+    "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "proprietary": 0.0, "reserved": 0.0,
 }
 UNKNOWN = 0.5
 #: Bytes of words: digits, lower-case letters and all beyond ASCII; capitals become small, the rest a space.
