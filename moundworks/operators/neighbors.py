@@ -111,7 +111,7 @@ def next_season_rank(df: DataFrame, key: str, season: str, x: str, y: str) -> Da
     cols = lambda s: [F.col(c).alias(f"{c}_{s}") for c in (key, season, x, y)]
     own = df.select(*cols("a")).join(df.select(*cols("b")), (F.col(f"{key}_a") == F.col(f"{key}_b")) & (F.col(f"{season}_b") == F.col(f"{season}_a") + 1))
     d = lambda s: F.hypot(F.col(f"{x}_a") - F.col(f"{x}_{s}"), F.col(f"{y}_a") - F.col(f"{y}_{s}"))
-    other = F.broadcast(df.select(*cols("c")).withColumn("n", F.count("*").over(Window.partitionBy())))  # a mart of thousands of rows, all of which each must meet
+    other, n = df.select(*cols("c")), df.count()
     nearer = (d("c") < d("b")) & ((F.col(f"{key}_c") != F.col(f"{key}_a")) | (F.col(f"{season}_c") != F.col(f"{season}_a")))
-    ranked = own.join(other).groupBy(f"{key}_a", f"{season}_a").agg(F.count_if(nearer).alias("nearer"), F.max("n").alias("n"))
-    return ranked.agg(F.median(F.try_divide(F.col("nearer").cast("double"), (F.col("n") - 2).cast("double"))).alias("rank"), F.count("*").alias("pairs"))
+    ranked = own.join(other).groupBy(f"{key}_a", f"{season}_a").agg(F.count_if(nearer).alias("nearer"))  # a mart of thousands of rows: each must meet all
+    return ranked.agg(F.median(F.try_divide(F.col("nearer").cast("double"), F.lit(float(n - 2)))).alias("rank"), F.count("*").alias("pairs"))

@@ -92,8 +92,8 @@ def expanding_priors(spark, sf):
 @query("""SELECT event_id, lag(event_type) OVER w AS prev_event_type_1, lag(event_type, 2) OVER w AS prev_event_type_2, lag(event_type, 3) OVER w AS prev_event_type_3,
   lead(event_type) OVER w AS next_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS is_last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def sequence_lags(spark, sf):
-    w, back = windows.over(["user_id"], "ts", "event_id"), windows.over(["user_id"], F.desc("ts"), F.desc("event_id"))
-    return events(spark, sf).select("event_id", *windows.lags("event_type", w, 3), F.lead("event_type").over(w).alias("next_type"), (F.row_number().over(back) == 1).alias("is_last"))
+    w = windows.over(["user_id"], "ts", "event_id")
+    return events(spark, sf).select("event_id", *windows.lags("event_type", w, 3), F.lead("event_type").over(w).alias("next_type"), F.lead(F.lit(1)).over(w).isNull().alias("is_last"))
 
 
 RUN_VALUE = """
