@@ -88,6 +88,11 @@ def season_correlations(pairs: DataFrame, of: dict[str, tuple[str, str]], season
     return counts
 
 
+def mean_correlations(table: DataFrame, season: str = "season") -> DataFrame:
+    """One row: the means over the seasons of a table of ``season_correlations``."""
+    return table.agg(*[F.avg(c).alias(c) for c in table.columns if c not in (season, "entities")])
+
+
 def stability(df: DataFrame, grade: str, actual: str, least: int = 500, entities: int = 20) -> DataFrame:
     """How well grade and result repeat from one season to the next."""
     return season_correlations(season_pairs(df, grade, actual, least=least), {"grade_yoy": ("grade", "next_grade"), "own_rv_yoy": ("actual", "next_actual")}, least=entities)

@@ -355,7 +355,14 @@ def test_ingest():
     assert refresh(dt.date(2024, 4, 3), lambda d: 1, m, trailing=1)["ok"] == 2
 
 
-assert pitch_queries  # registers the queries over the pitch table
+@pytest.fixture(scope="module", autouse=True)
+def enriched_once(spark, tmp_path_factory):
+    """The enriched pitch table is written once; the queries over it read it, rather than derive it a hundred times."""
+    path, derive = str(tmp_path_factory.mktemp("lake") / "enriched"), pitch_queries.enriched
+    derive(spark, SF).write.parquet(path)
+    pitch_queries.enriched = lambda session, sf: session.read.parquet(path)
+    yield
+    pitch_queries.enriched = derive
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))

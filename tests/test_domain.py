@@ -125,7 +125,9 @@ def test_called_strike_swing_and_quality(spark, pitches):
     assert back[0] == pytest.approx(100) and back[1] == pytest.approx(10)
     assert metrics.aggregate_correlation(plus_, "stuff_plus", "rv_pitcher", ["pitcher", "pitch_type"], 10).collect()[0].spearman > 0.5
     assert metrics.stability(plus_, "stuff_plus", "rv_pitcher", 5, 5).columns == ["season", "entities", "grade_yoy", "own_rv_yoy"]
-    assert metrics.predictive_validity(plus_, "stuff_plus", "rv_pitcher", 5, 5).count() >= 1
+    table = metrics.predictive_validity(plus_, "stuff_plus", "rv_pitcher", 5, 5)
+    got = [r.grade_vs_next for r in table.collect()]
+    assert got and metrics.mean_correlations(table).collect()[0].grade_vs_next == pytest.approx(sum(got) / len(got))
     with pytest.raises(ValueError):
         heads.pitch_quality("stuff", frame, None, QUICK, least=10**6)
 
