@@ -323,7 +323,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFr
     """The rows of docs that stand for their group, with the columns of docs. All rows without words stay; of rows equal in
     doc_id and text one stays, that of the smallest hash over all columns."""
     reps = _grouped(spark, docs, width).filter("stands and n_shingles > 0").select(F.col("k").alias("_k")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(*docs.columns).alias("_h"), row_key().alias("_k"), F.col("text").cast("string").alias("_t"))
+    rows = docs.select(F.struct("*").alias("_row"), row_key().alias("_k"), F.col("text").cast("string").alias("_t")).withColumn("_h", F.xxhash64("_row"))
     worded = F.coalesce(F.col("_t").rlike(WORD), F.lit(False))
     one = rows.filter(worded).join(reps, "_k", "left_semi").groupBy("_k").agg(F.min_by("_row", "_h").alias("_row"))
     return one.select("_row.*").union(rows.filter(~worded).select("_row.*"))
