@@ -284,9 +284,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(k, gone): the spans of each row that has some. The table grows with the data, so the join with it is the same at every
+    size: by merging, never by a broadcast that small tables would allow."""
     with Scratch(spark) as scratch:
         gone = repeated_spans(scratch, docs.select("k", "text"))
-        return scratch.cut(gone.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("gone")), keep=True)
+        return scratch.cut(gone.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("gone")), keep=True).hint("merge")
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
