@@ -43,7 +43,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spa
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     for key, (usual, ours) in BATCH.items():
-        if spark.conf.get(key) == usual:
+        if spark.conf.get(key, None) == usual:
             spark.conf.set(key, ours)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
