@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def turns_left(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> bool:
+    """Whether c lies to the left of the line from a through b; exact, so that the order in which points go doesn't matter."""
+    dx, dy, ex, ey = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+    left, right = dx * ey, dy * ex
+    if not (dx and ey or dy and ex):
+        return False
+    if abs(left - right) > 1e-15 * (abs(left) + abs(right)) or not all(map(math.isfinite, (*a, *b, *c))):
+        return not left <= right
+    (ax, ay), (bx, by), (cx, cy) = (map(Fraction, p) for p in (a, b, c))
+    return (bx - ax) * (cy - ay) > (by - ay) * (cx - ax)
+
+
 def hull_points(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners counter-clockwise from the leftmost; fewer than three different points are their own hull."""
     points = sorted(set(points))
@@ -16,7 +33,7 @@ def hull_points(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     def side(path: list) -> list:
         kept: list = []
         for p in path:
-            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
+            while len(kept) > 1 and not turns_left(kept[-2], kept[-1], p):
                 kept.pop()
             kept.append(p)
         return kept[:-1]
@@ -24,23 +41,119 @@ def hull_points(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return side(points) + side(points[::-1])
 
 
-def convex_hull(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, k, x, y). A hull's corner is extreme in some direction of its partition: rows are first cut down to local hulls
-    by partition (no shuffle), so that a group's task gets few points however many rows it has."""
-    schema = f"{key} {dict(df.dtypes)[key]}, x double, y double"
+#: Rows that are cut down to hulls at once, and points from which a group is worth a pass in plain Python before the shuffle.
+HULL_ROWS, HULL_POINTS = 400_000, 64
 
-    def local(frames):
-        for frame in frames:
-            for k, part in frame.groupby(key):
-                points = hull_points(list(zip(part.x.tolist(), part.y.tolist(), strict=True)))
-                yield pd.DataFrame({key: [k] * len(points), "x": [p[0] for p in points], "y": [p[1] for p in points]})
 
-    def final(frame: pd.DataFrame) -> pd.DataFrame:
-        points = hull_points(list(zip(frame.x.tolist(), frame.y.tolist(), strict=True)))
-        return pd.DataFrame({key: [frame[key].iloc[0]] * len(points), "k": range(len(points)), "x": [p[0] for p in points], "y": [p[1] for p in points]})
+def chain(group: np.ndarray, x: np.ndarray, y: np.ndarray, side: float) -> np.ndarray:
+    """Places that may be corners of the lower (side 1) or upper (-1) hull of their group. Rows come sorted by (group, x, y),
+    one for each x.
 
+    A row above the chord of its two neighbours is no corner, whatever else goes, so all such rows go at once, again and again.
+    Rows that rounding could put on either side stay.
+    """
+    at = np.arange(len(x))
+    while len(at) > 2:
+        a, b, c = at[:-2], at[1:-1], at[2:]
+        left, right = (x[b] - x[a]) * (y[c] - y[a]), (y[b] - y[a]) * (x[c] - x[a])
+        gone = (group[a] == group[c]) & (side * (left - right) < -1e-15 * (np.abs(left) + np.abs(right)))
+        at = at[np.r_[True, ~gone, True]]
+        if 50 * gone.sum() < len(at):  # what few are left over fall in the plain pass
+            break
+    return at
+
+
+def hull_rows(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row numbers, by (group, x, y), of a superset of the corners of each group's hull."""
+    order = np.lexsort((y, x, group))
+    group, x, y = group[order], x[order], y[order]
+    new = (group[1:] != group[:-1]) | (x[1:] != x[:-1])
+    low, high = np.flatnonzero(np.r_[True, new]), np.flatnonzero(np.r_[new, True])
+    with np.errstate(invalid="ignore", over="ignore"):
+        low, high = (at[chain(group[at], x[at], y[at], side)] for at, side in ((low, 1.0), (high, -1.0)))
+    return order[np.union1d(low, high)]
+
+
+def _groups(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal numbers."""
+    edges = np.flatnonzero(group[1:] != group[:-1]) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(group)], strict=True)
+
+
+def _cut_down(rows: pa.Table, key: str) -> pa.Table:
+    """Fewer rows with the same hulls; groups that are large even so are cut down to their corners."""
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return rows
+    group = rows.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
+    x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+    at = hull_rows(group, x, y)
+    drop = []
+    for start, end in _groups(group[at]):
+        if end - start > HULL_POINTS:
+            own = at[start:end]
+            corners = set(hull_points(list(zip(x[own].tolist(), y[own].tolist(), strict=True))))
+            drop += [i for i in own.tolist() if (x[i], y[i]) not in corners]
+    return rows.take(pa.array(np.setdiff1d(at, drop) if drop else np.sort(at)))
+
+
+def _local_hulls(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HULL_ROWS:
+                yield from _cut_down(pa.Table.from_batches(held), key).to_batches()
+                held, n = [], 0
+        if held:
+            yield from _cut_down(pa.Table.from_batches(held), key).to_batches()
+
+    return run
+
+
+def _final_hulls(key: str):
+    """Rows come sorted by key; a group's rows may fill many batches."""
+
+    def corners(rows: pa.Table) -> pa.RecordBatch:
+        group = rows.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
+        x, y = rows.column("x").to_numpy().tolist(), rows.column("y").to_numpy().tolist()
+        first, ks, out = [], [], []
+        for start, end in _groups(group):
+            hull = hull_points(list(zip(x[start:end], y[start:end], strict=True)))
+            first += [start] * len(hull)
+            ks += range(len(hull))
+            out += hull
+        columns = [rows.column(key).take(pa.array(first)).combine_chunks(), pa.array(ks, pa.int32()), pa.array([p[0] for p in out], pa.float64()), pa.array([p[1] for p in out], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "k", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, HULL_ROWS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                rows = _cut_down(pa.Table.from_batches(held), key)
+                keys = rows.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
+                open_ = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+                if open_:
+                    yield corners(rows.slice(0, open_))
+                held = rows.slice(open_).to_batches()
+                n = rows.num_rows - open_
+                most = HULL_ROWS + 2 * n
+        if n:
+            yield corners(_cut_down(pa.Table.from_batches(held), key))
+
+    return run
+
+
+def convex_hull(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, k, x, y). Rows are cut down by partition before the shuffle, then groups by groups, HULL_ROWS at a time: numpy
+    drops what can't be a corner of all groups at once, and plain Python orders the few points left."""
+    kind = dict(df.dtypes)[key]
     rows = df.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    return rows.mapInPandas(local, schema).groupBy(key).applyInPandas(final, f"{key} {dict(df.dtypes)[key]}, k int, x double, y double")
+    local = rows.mapInArrow(_local_hulls(key), f"`{key}` {kind}, x double, y double")
+    return local.repartition(key).sortWithinPartitions(key).mapInArrow(_final_hulls(key), f"`{key}` {kind}, k int, x double, y double")
 
 
 def flight(df: DataFrame, samples: int = 20, yf: float = 17 / 12) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 from dataclasses import fields
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -375,3 +377,33 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     show = lambda v: "" if v is None else f"{v:.8g}" if isinstance(v, float) else str(v).replace("+00:00", "")
     assert sorted(tuple(map(show, r)) for r in df.select(*names).collect()) == sorted(tuple(map(show, r)) for r in want.fetchall())
+
+
+def test_hulls_of_many_groups_at_once(monkeypatch):
+    """Groups of few rows never cost a pass of plain Python each before the shuffle; what is left has the same hulls."""
+    rng = np.random.default_rng(3)
+    key = np.r_[rng.integers(0, 3000, 20_000), np.full(5000, 7), np.full(5000, 8)]
+    x = np.r_[rng.integers(0, 50, 20_000) / 10, rng.normal(size=5000), np.arange(5000) * 0.1]
+    y = np.r_[rng.integers(0, 9, 20_000) / 10, rng.normal(size=5000), np.arange(5000) * 0.3]
+    calls, plain = [], geometry.hull_points
+    monkeypatch.setattr(geometry, "hull_points", lambda points: calls.append(len(points)) or plain(points))
+    batches = pa.table({"id": key, "x": x, "y": y}).to_batches(max_chunksize=1000)
+    left = pa.Table.from_batches(geometry._local_hulls("id")(iter(batches)))
+    assert len(calls) <= 2 and left.num_rows < len(key) - 9000
+    hulls = lambda k, x, y: {int(i): plain(list(zip(x[k == i].tolist(), y[k == i].tolist(), strict=True))) for i in np.unique(k)}
+    rest = [left.column(c).to_numpy() for c in ("id", "x", "y")]
+    want = hulls(key, x, y)
+    assert hulls(*rest) == want
+    order = np.argsort(rest[0], kind="stable")
+    final = pa.Table.from_batches(geometry._final_hulls("id")(iter(pa.table({"id": rest[0][order], "x": rest[1][order], "y": rest[2][order]}).to_batches(max_chunksize=700)))).to_pylist()
+    assert {i: [(r["x"], r["y"]) for r in final if r["id"] == i] for i in (0, 7, 8)} == {i: want[i] for i in (0, 7, 8)} and len(final) == sum(map(len, want.values()))
+
+
+def test_final_hull_of_a_group_that_fills_many_chunks(monkeypatch):
+    monkeypatch.setattr(geometry, "HULL_ROWS", 50)
+    rng = np.random.default_rng(5)
+    key, x, y = np.sort(rng.choice(["a", "b", "b", "b", "c"], 2000)), rng.normal(size=2000).round(1), rng.normal(size=2000)
+    rows = [r for b in geometry._final_hulls("id")(iter(pa.table({"id": key, "x": x, "y": y}).to_batches(max_chunksize=30))) for r in b.to_pylist()]
+    for k in "abc":
+        assert [(r["x"], r["y"]) for r in rows if r["id"] == k] == geometry.hull_points(list(zip(x[key == k].tolist(), y[key == k].tolist(), strict=True)))
+        assert [r["k"] for r in rows if r["id"] == k] == list(range(sum(r["id"] == k for r in rows)))
