@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one pass over the rows answers, and rows that a task compares with them at once: 64 MB of distances.
 QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+#: Rows and entities of a task that counts the rows nearer than an entity's next season.
+POINTS, PLACES = 1 << 18, 1 << 15
 
 
 def blocks_of(rows: DataFrame, size: int) -> Iterator[list]:
@@ -105,13 +107,104 @@ def trustworthiness(x: np.ndarray, low: np.ndarray, k: int = 15) -> float:
     return float(1 - 2 * lost / worst) if worst > 0 else 1.0
 
 
+def _distance(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    return np.sqrt(dx * dx + dy * dy)
+
+
+def nearer_than(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many of the points (x, y) are less than d from each place (px, py), by the plain formula to the last bit.
+
+    Points are cut into strips by y and sorted by x within. Of a strip, those sure to be inside are counted by binary search;
+    those near the circle's edge are measured. About the root of the number of points is looked at for a place.
+    """
+    out = np.zeros(len(px), dtype=np.int64)
+    with np.errstate(invalid="ignore", over="ignore"):
+        odd = np.flatnonzero(~(np.isfinite(px) & np.isfinite(py) & np.isfinite(d * d)))
+        for i in odd[~np.isnan(px[odd]) & ~np.isnan(py[odd])].tolist():
+            own = _distance(px[i] - x, py[i] - y)
+            out[i] = np.count_nonzero((own < d[i]) | (np.isnan(d[i]) & ~np.isnan(own)))
+    fine = np.isfinite(x) & np.isfinite(y)
+    x, y = x[fine], y[fine]
+    if not len(x):
+        return out
+    by_y = np.argsort(y, kind="stable")
+    x, y = x[by_y], y[by_y]
+    rows = np.setdiff1d(np.arange(len(px)), odd)
+    rows = rows[np.argsort(px[rows], kind="stable")]
+    strips = np.array_split(np.arange(len(x)), max(1, round(len(x) ** 0.5)))
+    strips = [(s[np.argsort(x[s], kind="stable")], y[s[0]], y[s[-1]]) for s in strips]
+    for start in range(0, len(rows), PLACES):
+        i = rows[start : start + PLACES]
+        qx, qy, r = px[i], py[i], d[i]
+        count = np.zeros(len(i), dtype=np.int64)
+        slack = 1e-13 * r * r
+        for own, y0, y1 in strips:
+            sx, sy = x[own], y[own]
+            least = np.maximum(np.maximum(y0 - qy, qy - y1), 0.0)
+            most = np.maximum(np.abs(y0 - qy), np.abs(y1 - qy))
+            near = np.flatnonzero(least <= r * (1 + 1e-13))
+            cx, reach, sure = qx[near], np.sqrt(np.maximum(r * r - least * least, 0) + slack)[near], (r * r - most * most - slack)[near]
+            half = np.sqrt(np.maximum(sure, 0))
+            edge = 2e-15 * (np.abs(cx) + reach)
+            a, b = np.searchsorted(sx, cx - reach - edge, "left"), np.searchsorted(sx, cx + reach + edge, "right")
+            lo, hi = np.searchsorted(sx, cx - half + edge, "left"), np.searchsorted(sx, cx + half - edge, "right")
+            inner = (sure > 0) & (lo < hi)
+            lo, hi = np.where(inner, lo, b), np.where(inner, hi, b)
+            count[near] += hi - lo
+            for first, n in ((a, lo - a), (hi, b - hi)):
+                some = np.flatnonzero(n > 0)
+                first, n = first[some], n[some]
+                who = np.repeat(near[some], n)
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                count += np.bincount(who[_distance(qx[who] - sx[at], qy[who] - sy[at]) < r[who]], minlength=len(i))
+        out[i] = count
+    return out
+
+
+def _nearer(points: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """(who, nearer): for each place how many of the points are nearer to it than its goal, rows of its own aside."""
+    x, y, code = (points[c].to_numpy() for c in ("x", "y", "code"))
+    px, py = places.px.to_numpy(), places.py.to_numpy()
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = _distance(px - places.gx.to_numpy(), py - places.gy.to_numpy())
+        count = nearer_than(x, y, px, py, d)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        for own in ("who", "no_key", "no_season", "neither"):
+            first = np.searchsorted(code, places[own].to_numpy(), "left")
+            n = np.searchsorted(code, places[own].to_numpy(), "right") - first
+            who = np.repeat(np.arange(len(n)), n)
+            at = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            apart = _distance(px[who] - x[at], py[who] - y[at])
+            inside = (apart < d[who]) | (np.isnan(d[who]) & ~np.isnan(apart))
+            count -= np.bincount(who[inside], minlength=len(n))
+    return pd.DataFrame({"who": places.who, "nearer": count})
+
+
 def next_season_rank(df: DataFrame, key: str, season: str, x: str, y: str) -> DataFrame:
     """One row: the median, over entities with a next season, of that season's place among all rows by distance on the map
-    (0 nearest, 1 farthest). Rows are compared with the entities' own two only: no pair of others becomes a row."""
-    cols = lambda s: [F.col(c).alias(f"{c}_{s}") for c in (key, season, x, y)]
-    own = df.select(*cols("a")).join(df.select(*cols("b")), (F.col(f"{key}_a") == F.col(f"{key}_b")) & (F.col(f"{season}_b") == F.col(f"{season}_a") + 1))
-    d = lambda s: F.hypot(F.col(f"{x}_a") - F.col(f"{x}_{s}"), F.col(f"{y}_a") - F.col(f"{y}_{s}"))
-    other, n = df.select(*cols("c")), df.count()
-    nearer = (d("c") < d("b")) & ((F.col(f"{key}_c") != F.col(f"{key}_a")) | (F.col(f"{season}_c") != F.col(f"{season}_a")))
-    ranked = own.join(other).groupBy(f"{key}_a", f"{season}_a").agg(F.count_if(nearer).alias("nearer"))  # a mart of thousands of rows: each must meet all
+    (0 nearest, 1 farthest). Blocks of rows meet blocks of entities; a task counts by strips of the map, so no pair becomes a row
+    and few are measured. Rows without key or season that can't be told from the entity's own aren't counted."""
+    code = lambda k, s: F.xxhash64(k, k.isNull(), s, s.isNull())
+    kind = dict(df.dtypes)
+    none = {c: F.lit(None).cast(kind[c]) for c in (key, season)}
+    at = [F.col(c).cast("double") for c in (x, y)]
+    rows = df.select(F.col(key).alias("_k"), F.col(season).alias("_s"), *(c.alias(a) for c, a in zip(at, ("x", "y"), strict=True)))
+    k, s = F.col("_k"), F.col("_s")
+    n = df.count()
+    blocks, parts = max(1, -(-n // POINTS)), max(1, -(-n // PLACES))
+    upto = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = lambda df: df.repartition(min(4 * blocks * parts, 2000), "block", "part").groupBy("block", "part")
+
+    points = rows.dropna(subset=["x", "y"]).withColumn("code", code(k, s))
+    points = points.select("x", "y", "code", F.pmod(F.xxhash64("code", "x", "y"), F.lit(blocks)).cast("int").alias("block")).withColumn("part", upto(parts))
+    after = rows.select(k.alias("_a"), (s - 1).alias("_b"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    pairs = rows.join(after, (k == F.col("_a")) & (s == F.col("_b")))
+    places = pairs.select(
+        F.col("x").alias("px"), F.col("y").alias("py"), "gx", "gy", code(k, s).alias("who"),
+        code(none[key], s).alias("no_key"), code(k, none[season]).alias("no_season"), code(none[key], none[season]).alias("neither"),
+    )
+    places = places.withColumn("part", F.pmod(F.xxhash64("who", "px", "py"), F.lit(parts)).cast("int")).withColumn("block", upto(blocks))
+    found = dealt(points).cogroup(dealt(places)).applyInPandas(_nearer, "who long, nearer long")
+    ranked = found.groupBy("who").agg(F.sum("nearer").alias("nearer"))
     return ranked.agg(F.median(F.try_divide(F.col("nearer").cast("double"), F.lit(float(n - 2)))).alias("rank"), F.count("*").alias("pairs"))

@@ -407,3 +407,34 @@ def test_final_hull_of_a_group_that_fills_many_chunks(monkeypatch):
     for k in "abc":
         assert [(r["x"], r["y"]) for r in rows if r["id"] == k] == geometry.hull_points(list(zip(x[key == k].tolist(), y[key == k].tolist(), strict=True)))
         assert [r["k"] for r in rows if r["id"] == k] == list(range(sum(r["id"] == k for r in rows)))
+
+
+def test_next_season_rank_counts_without_pairs(spark, monkeypatch):
+    """Whatever the number of blocks, ties, null and NaN places, rows without key or season and repeated rows are counted as by
+    the join of all pairs, and the plan joins by keys only."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i) if i % 50 else None, int(s) if i % 41 else None, float(rng.integers(0, 8)), float(rng.integers(0, 8))) for i in range(1, 120) for s in (2020, 2021, 2022)]
+    rows += [(3, 2020, 1.0, 5.0), (5, 2021, None, 2.0), (6, 2020, float("nan"), 2.0), (None, 2020, 0.0, 0.0), (None, None, 3.0, 3.0)]
+    spark.createDataFrame(rows, "id long, season int, x double, y double").createOrReplaceTempView("seasons")
+    want = spark.sql("""WITH p AS (SELECT a.*, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM seasons a JOIN seasons b ON a.id = b.id AND b.season = a.season + 1),
+      r AS (SELECT p.id, p.season, count_if(sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) < d AND (c.id <> p.id OR c.season <> p.season)) AS k FROM p CROSS JOIN seasons c GROUP BY 1, 2)
+      SELECT median(k / (SELECT count(*) - 2 FROM seasons)), count(*) FROM r""").collect()[0]
+    for size in (1 << 18, 60):
+        monkeypatch.setattr(neighbors, "POINTS", size)
+        monkeypatch.setattr(neighbors, "PLACES", size)
+        out = neighbors.next_season_rank(spark.table("seasons"), "id", "season", "x", "y")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        got = out.collect()[0]
+        assert (got["rank"], got["pairs"]) == (pytest.approx(want[0], abs=1e-12), want[1])
+
+
+def test_points_nearer_than():
+    rng = np.random.default_rng(6)
+    for make in (lambda n: rng.normal(size=n), lambda n: rng.integers(0, 9, n).astype(float), lambda n: 1e6 + rng.integers(0, 50, n) * 0.1):
+        x, y, px, py = make(900), make(900), make(120), make(120)
+        goal = rng.integers(0, 900, 120)
+        d = np.sqrt((px - x[goal]) ** 2 + (py - y[goal]) ** 2)
+        x[0], y[1], d[2], px[3] = np.nan, np.inf, np.inf, np.nan
+        far = np.sqrt((px[:, None] - x) ** 2 + (py[:, None] - y) ** 2)
+        assert (neighbors.nearer_than(x, y, px, py, d) == ((far < d[:, None]) | (np.isnan(d)[:, None] & ~np.isnan(far))).sum(axis=1)).all()
