@@ -11,8 +11,12 @@ are encoded one by one; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
+import threading
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -126,11 +130,53 @@ def _loaded(spec: str) -> ByteBpe:
     return ByteBpe(json.loads(spec))
 
 
+#: Seconds without a task after which a Python worker gives up its tokenizer.
+IDLE_S = 5.0
+_timer: threading.Timer | None = None
+
+
+def _busy() -> None:
+    if _timer:
+        _timer.cancel()
+
+
+def _idle() -> None:
+    """Gives up the tokenizer and the pieces it remembers, unless another task begins soon: workers outlive their stage, and
+    count as their executor's memory while later stages run."""
+    global _timer
+    _busy()
+
+    def release() -> None:
+        _loaded.cache_clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # a C library without it keeps its free pages
+            ctypes.CDLL(None).malloc_trim(0)
+
+    _timer = threading.Timer(IDLE_S, release)
+    _timer.daemon = True
+    _timer.start()
+
+
 def load(path: str) -> ByteBpe:
     with open(path, encoding="utf-8") as f:
         return _loaded(f.read())
 
 
+def _encode(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[pa.RecordBatch]:
+    _busy()
+    try:
+        bpe = _loaded(spec)
+        for batch in small_batches(batches):
+            ids, decoded = [], []
+            for raw in as_bytes(batch, "text"):
+                ids.append(packed := bpe.encode_packed((raw or b"").decode("utf-8", "replace")))
+                decoded.append(bpe.decode(memoryview(packed).cast("I").tolist()))
+            counts = [len(packed) // 4 for packed in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+    finally:
+        _idle()
+
+
 def encode_rows(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """A row for each of docs: doc_id, n_tokens, ids, decoded. vocabulary: path of the tokenizer's JSON on the driver.
 
@@ -141,14 +187,7 @@ def encode_rows(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFr
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(spec.value)
-        for batch in small_batches(batches):
-            ids, decoded = [], []
-            for raw in as_bytes(batch, "text"):
-                ids.append(packed := bpe.encode_packed((raw or b"").decode("utf-8", "replace")))
-                decoded.append(bpe.decode(memoryview(packed).cast("I").tolist()))
-            counts = [len(packed) // 4 for packed in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        return _encode(batches, spec.value)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

@@ -322,6 +322,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 out.append("".join(r for r, g in zip(runs, _covered(len(runs), list(spans_)).tolist(), strict=True) if not g))
         return pd.Series(out)
 
+    clean = clean.asNondeterministic()  # else the filter below cuts each text again, in Python workers of its own
     fresh = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean("text", "gone")))
     kept = fresh.filter(F.col("gone").isNull() | (F.length("text") > 0))
     columns = [F.col("text").alias(c) if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -596,3 +597,24 @@ def test_near_dedup_loses_no_row_of_null_or_repeated_id(spark):
     assert got == sorted([(0, 0, True), (0, 0, True), (0, 0, True), (0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False), (3, 3, True), (4, 3, False)])
     kept = near_dedup.keep_one(spark, df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted([(0, 7), (0, 5), (0, 0), (0, 0), (7, 5), (7, 5), (3, len(long))])
+
+
+def test_cutting_calls_python_once_a_text(spark, docs):
+    """One Python step in the plan: a second one would cut each text again, in workers of its own."""
+    plan = substring.without_repeats(spark, docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
+
+
+def test_bpe_gives_up_its_tokenizer_when_idle(monkeypatch):
+    """A worker that has no task keeps neither vocabulary nor pieces; one whose next task comes soon keeps both."""
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = f.read()
+    batch = pa.table({"doc_id": [1, 2], "text": ["some words", None]}).to_batches()[0]
+    encode = lambda: [r for b in bpe._encode(iter([batch]), spec) for r in b.to_pylist()]
+    monkeypatch.setattr(bpe, "IDLE_S", 60.0)
+    first = encode()
+    kept = bpe._loaded(spec)
+    monkeypatch.setattr(bpe, "IDLE_S", 0.2)
+    assert encode() == first and bpe._loaded(spec) is kept and kept.known
+    bpe._timer.join(10)
+    assert bpe._loaded.cache_info().currsize == 0 and encode() == first
